@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,15 @@ class Workspace:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._tesserae_path)
             path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """While jobs run inside, Arrow batches to Python hold few rows, so long texts do not pile up in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
