@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, near_dups, secrets
+from . import chat, licenses, mixing, near_dups, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    s = F.col("quality_score")
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), s.alias("score"), F.when(s >= model.o.threshold, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.summarize(docs, licenses.scan(docs))
@@ -61,6 +70,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality": op2_quality,
     "op3_license_scan": op3_license_scan,
     "op4_near_dups": op4_near_dups,
     "op7_chat_format": op7_chat_format,
