@@ -164,16 +164,16 @@ class Crf:
     def __init__(self, options: Options = Options()):
         self.o = options
         self.cuts: list[np.ndarray] = []
-        self.table = np.zeros((3 * len(FEATURES), options.bins + 1))
+        self.table = np.zeros((3 * len(FEATURES), 2 * options.bins + 1))
         self.pairs = np.zeros((2, 2))
-        self.curve = (1.0, 0.0)
+        self.curve = np.array([1.0, 0.0, 0.0])
         self.prior = 0.5
 
     def binned(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Bins of the own, previous and next line; bin 0 stands for no neighbour."""
         own = np.empty(x.shape, np.int64)
         for f, c in enumerate(self.cuts):
-            own[:, f] = 1 + np.searchsorted(c, x[:, f], "right")
+            own[:, f] = 1 + np.searchsorted(c, x[:, f], "left")
         some = count[count > 0]
         start = np.concatenate([[0], np.cumsum(some)])
         before, after = np.zeros_like(own), np.zeros_like(own)
@@ -190,7 +190,7 @@ class Crf:
         return np.clip(e, -30, 30)
 
     def raw(self, lines: Lines) -> np.ndarray:
-        """Length-weighted logit of each document; without lines, nan."""
+        """Length-weighted logit and log length of each document; without lines, nan."""
         bins = self.binned(lines.x, lines.count)
         p, _ = Chains(lines.count).marginals(self.emissions(bins), self.pairs)
         n = len(lines.count)
@@ -198,20 +198,20 @@ class Crf:
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = np.bincount(lines.doc, lines.weight * p, n) / w
         mean = np.clip(mean, 1e-4, 1 - 1e-4)
-        return np.log(mean / (1 - mean))
+        return np.stack([np.log(mean / (1 - mean)), np.log1p(w)], 1)
 
     def score(self, lines: Lines) -> np.ndarray:
         z = self.raw(lines)
-        return np.where(np.isnan(z), self.prior, 1 / (1 + np.exp(-np.clip(self.curve[0] * z + self.curve[1], -40, 40))))
+        return np.where(np.isnan(z[:, 0]), self.prior, 1 / (1 + np.exp(-np.clip(z @ self.curve[:-1] + self.curve[-1], -40, 40))))
 
     def fit(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray, shares: tuple[float, float]) -> Crf:
         """``x``: lines of all documents in order; ``count``, ``y``: lines and label of each document; ``shares``: of labels 0 and 1 in all training rows."""
         o = self.o
         self.prior = shares[1]
         for f in range(x.shape[1]):
-            self.cuts.append(np.unique(np.quantile(x[:, f], np.arange(1, o.bins) / o.bins)) if len(x) else np.zeros(0))
+            self.cuts.append(_cuts(x[:, f], o.bins))
         if not len(x) or y.min() == y.max():
-            self.curve = (0.0, float(np.clip(np.log((self.prior + 1e-6) / (1 - self.prior + 1e-6)), -10, 10)))
+            self.curve = np.array([0.0, 0.0, np.clip(np.log((self.prior + 1e-6) / (1 - self.prior + 1e-6)), -10, 10)])
             return self
         bins, chains = self.binned(x, count), Chains(count)
         label = np.repeat(y, count).astype(np.float64)
@@ -225,7 +225,7 @@ class Crf:
         for step in range(1, o.iterations + 1):
             p, expected = chains.marginals(self.emissions(bins), self.pairs, edges=True)
             d = lw * (label - p)
-            g = np.stack([np.bincount(bins[:, f], d, o.bins + 1) for f in range(bins.shape[1])]) - o.l2 * self.table / len(FEATURES)
+            g = np.stack([np.bincount(bins[:, f], d, self.table.shape[1]) for f in range(bins.shape[1])]) - o.l2 * self.table / len(FEATURES)
             tg = (seen - expected) / max(1.0, seen.sum()) - o.l2 * self.pairs
             for param, grad, mm, vv in ((self.table, g, m, v), (self.pairs, tg, tm, tv)):
                 mm *= 0.9
@@ -238,26 +238,35 @@ class Crf:
         fitted.x, fitted.count, fitted.weight = x, count, weight
         fitted.doc = np.repeat(np.arange(len(count)), count)
         z = self.raw(fitted)
-        ok = ~np.isnan(z)
+        ok = ~np.isnan(z[:, 0])
         cw = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
         self.curve = logistic(z[ok], y[ok], cw[ok])
         return self
 
 
-def logistic(z: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-3) -> tuple[float, float]:
-    """Weighted logistic curve of one variable by Newton steps."""
-    t = np.zeros(2)
-    x = np.stack([z, np.ones_like(z)], 1)
+def _cuts(v: np.ndarray, bins: int) -> np.ndarray:
+    """At most 2 * bins - 1 bin edges: 0, and quantiles of all values and of those above 0, as many features are mostly 0."""
+    if not len(v):
+        return np.zeros(0)
+    q = np.arange(1, bins) / bins
+    return np.unique(np.concatenate([[0.0], np.quantile(v, q), np.quantile(v[v > 0], q) if (v > 0).any() else []]))
+
+
+def logistic(z: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-3) -> np.ndarray:
+    """Weights and constant of a weighted logistic regression, by Newton steps."""
+    x = np.column_stack([z, np.ones(len(z))])
+    ridge = np.append(np.full(x.shape[1] - 1, l2), 1e-9)
+    t = np.zeros(x.shape[1])
     w = w / w.sum()
-    for _ in range(60):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -40, 40)))
-        g = x.T @ (w * (y - p)) - l2 * t * [1, 0]
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([l2, 1e-9])
-        step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        t = t + np.clip(step, -2, 2)
+        g = x.T @ (w * (y - p)) - ridge * t
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        t = t + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(t[0]), float(t[1])
+    return t
 
 
 def line_features(docs: DataFrame) -> DataFrame:
