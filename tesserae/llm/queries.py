@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, near_dups, quality, secrets
+from . import chat, licenses, mixing, near_dups, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,15 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    s = F.col("toxicity")
+    return toxicity.score(docs, index).select(
+        "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), s.alias("score"), F.when(s >= index.o.threshold, 1).otherwise(0).cast("int").alias("predicted"), "evidence",
+    )
+
+
 PLANTED = "SELECT -7L AS conv_id, turn, role, '\\\\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"
 
 
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_license_scan": op3_license_scan,
     "op4_near_dups": op4_near_dups,
+    "op5_toxicity": op5_toxicity,
     "op7_chat_format": op7_chat_format,
     "op10_mix_sources": op10_mix_sources,
 }
