@@ -10,8 +10,8 @@ Documents with equal shingle sets are one class from the start and only its smal
 on, so exact copies never meet in a band.  A band's bucket is never expanded into pairs at first:
 (1) every class is compared with one smaller class, the smallest of the centres of its buckets;
 (2) those still apart from another centre are compared with that; (3) only pairs of a bucket whose
-components still differ are compared one by one, which is what no shortcut can answer.  Sizes bound
-the similarity first; every link is confirmed on full sets.
+components still differ, and whose shingles held by several components would suffice for a link, are
+compared one by one.  Sizes bound the similarity first; every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -110,6 +110,36 @@ def confirm(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def narrow(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
+    """Bucket members (key, rep, n, label) that may still link to another component of their bucket, and ``most``, the largest set they may link to.
+
+    Lossless.  A link to another component runs over shingles that several components hold.  With s
+    of those among n shingles, a partner of m shingles needs percent * (n + m - s) <= 100 * s, which
+    bounds m; members whose bucket has no such partner are done.
+    """
+    mixed = lm.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
+    lm = ws.put(lm.select("key", "rep", "n", "label").join(mixed.select(F.col("key").alias("m_key"), "least"), F.col("key") == F.col("m_key")).drop("m_key"), "mixed")
+    who = lm.select("rep", "label").distinct()
+    held = who.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "label", "members")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                c = b.slice(i, 200)
+                n = np.array([len(x.as_buffer()) // 8 for x in c.column("members")], np.int64)
+                h = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in c.column("members")])
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([c.column("rep").take(at), c.column("label").take(at), pa.array(h)], names=["rep", "label", "h"])
+
+    held = ws.put(held.mapInArrow(spread, "rep bigint, label bigint, h bigint"), "held")
+    several = held.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("h").alias("s_h"))
+    shared = held.join(several, F.col("h") == F.col("s_h"), "left_semi").groupBy(F.col("rep").alias("s_rep")).agg(F.count("*").alias("s"))
+    out = lm.join(shared, F.col("rep") == F.col("s_rep")).withColumn("most", F.floor(F.col("s") * (100 + o.percent) / o.percent - F.col("n")))
+    out = ws.put(out.where(F.col("most") >= F.greatest("least", F.ceil(F.col("n") * o.percent / 100))).select("key", "rep", "n", "label", "most"), "narrow")
+    ws.drop(held)
+    return out
+
+
 def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class_id, n_links`` for every row of ``docs``.
 
@@ -154,11 +184,12 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
         # what is left: buckets whose members still lie in several components
         lm = ws.put(labelled(members.select("key", "rep", "n"), "rep", "label"), "labelled")
-        mixed = lm.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("m_key"))
-        lm = ws.put(lm.join(mixed, F.col("key") == F.col("m_key"), "left_semi"), "mixed")
-        x = lm.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-        y = lm.select(F.col("key").alias("y_key"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-        rest = x.join(y, (F.col("key") == F.col("y_key")) & (F.col("a") > F.col("b")) & (F.col("al") != F.col("bl")) & if_sized(F.col("an"), F.col("bn")))
+        for _ in range(2):
+            lm = narrow(ws, lm, sets, o)
+        x = lm.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("most").alias("am"))
+        y = lm.select(F.col("key").alias("y_key"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("most").alias("bm"))
+        fit = if_sized(F.col("an"), F.col("bn")) & (F.col("bn") <= F.col("am")) & (F.col("an") <= F.col("bm"))
+        rest = x.join(y, (F.col("key") == F.col("y_key")) & (F.col("a") > F.col("b")) & (F.col("al") != F.col("bl")) & fit)
         rest = rest.select("a", "b").distinct().join(star.select(F.col("rep").alias("a"), F.col("centre").alias("b")), ["a", "b"], "left_anti")
         last = ws.put(confirm(rest, sets, o), "linked")
         found = ws.put(found.unionAll(last), "found")
