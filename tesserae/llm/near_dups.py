@@ -11,7 +11,7 @@ on, so exact copies never meet in a band.  A band's bucket is never expanded int
 (1) every class is compared with one smaller class, the smallest of the centres of its buckets;
 (2) those still apart from another centre are compared with that; (3) only pairs of a bucket whose
 components still differ, and whose shingles held by several components would suffice for a link, are
-compared one by one.  Sizes bound the similarity first; every link is confirmed on full sets.
+counted against each other, in blocks of sets that never become rows of pairs.  Sizes bound the similarity first; every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class Options:
     percent: int = 75  # links: 100 * intersection >= percent * union
     permutations: int = 64
     rows: int = 4
+    block: int = 256  # sets of a family compared together
     seed: int = 20_240_501
 
 
@@ -140,6 +141,76 @@ def narrow(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFra
     return out
 
 
+def block_links(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
+    """The links (a, b) between members of different components that share a bucket, without a row for each pair.
+
+    Buckets that share members are one family.  A family is cut into blocks of about ``o.block`` sets,
+    and every two blocks meet in one group of at most twice that, whose shingles are counted together;
+    only links come out.
+    """
+    least = lm.groupBy(F.col("key").alias("l_key")).agg(F.min("rep").alias("first"))
+    star = lm.join(least, F.col("key") == F.col("l_key")).select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    family = components(ws, star)
+    docs = lm.select("rep", "n", "label", "most").distinct().join(family.withColumnRenamed("label", "family"), F.col("rep") == F.col("node")).select("rep", "label", "most", "family")
+    docs = ws.put(docs, "family")
+    size = docs.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count("*") / o.block).cast("int").alias("blocks"))
+    docs = docs.join(size, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    docs = docs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    docs = docs.select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "most")
+    rows = docs.join(sets, F.col("rep") == F.col("doc_id")).select("family", "lo", "hi", "own", "rep", "label", "most", "members")
+    rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for t in batches:
+            links: list[tuple[int, int]] = []
+            cols = [t.column(c).to_pylist() for c in ("family", "lo", "hi", "own", "rep", "label", "most")]
+            for f, lo, hi, own, rep, label, most, m in zip(*cols, t.column("members")):
+                if (f, lo, hi) != key:
+                    links += linked_pairs(group, key, o)
+                    key, group = (f, lo, hi), []
+                group.append((own, rep, label, most, np.frombuffer(m.as_buffer(), U64)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+        if links := linked_pairs(group, key, o):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def linked_pairs(group: list[tuple], key: tuple | None, o: Options) -> list[tuple[int, int]]:
+    """Links between two blocks (own, rep, label, most, set), or inside one."""
+    if len(group) < 2:
+        return []
+    own, rep, label, most = (np.array([g[k] for g in group], np.int64) for k in range(4))
+    n = np.array([len(g[4]) for g in group], np.int64)
+    ask = (label[:, None] != label[None]) & (n[:, None] <= most[None]) & (n[None] <= most[:, None]) & (rep[:, None] > rep[None])
+    if key[1] != key[2]:
+        ask &= own[:, None] != own[None]
+    x, y = np.nonzero(ask & (100 * np.minimum(n[:, None], n[None]) >= o.percent * np.maximum(n[:, None], n[None])))
+    if not len(x):
+        return []
+    h = np.concatenate([g[4] for g in group])
+    doc = np.repeat(np.arange(len(group)), n)
+    by = np.argsort(h, kind="stable")
+    h, doc = h[by], doc[by]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.diff(np.append(start, len(h)))
+    keep = np.repeat(count > 1, count)
+    column = np.repeat(np.cumsum(count > 1) - 1, count)[keep]
+    doc = doc[keep]
+    both = np.zeros((len(group), len(group)), np.float32)
+    wide = 4096
+    edge = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + wide + 1, wide))
+    for s, e in zip(edge[:-1], edge[1:]):
+        m = np.zeros((len(group), wide), np.float32)
+        m[doc[s:e], column[s:e] % wide] = 1
+        both += m @ m.T
+    both = both[x, y].astype(np.int64)
+    ok = 100 * both >= o.percent * (n[x] + n[y] - both)
+    return list(zip(rep[x[ok]].tolist(), rep[y[ok]].tolist()))
+
+
 def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class_id, n_links`` for every row of ``docs``.
 
@@ -186,12 +257,7 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
         lm = ws.put(labelled(members.select("key", "rep", "n"), "rep", "label"), "labelled")
         for _ in range(2):
             lm = narrow(ws, lm, sets, o)
-        x = lm.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("most").alias("am"))
-        y = lm.select(F.col("key").alias("y_key"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("most").alias("bm"))
-        fit = if_sized(F.col("an"), F.col("bn")) & (F.col("bn") <= F.col("am")) & (F.col("an") <= F.col("bm"))
-        rest = x.join(y, (F.col("key") == F.col("y_key")) & (F.col("a") > F.col("b")) & (F.col("al") != F.col("bl")) & fit)
-        rest = rest.select("a", "b").distinct().join(star.select(F.col("rep").alias("a"), F.col("centre").alias("b")), ["a", "b"], "left_anti")
-        last = ws.put(confirm(rest, sets, o), "linked")
+        last = ws.put(block_links(ws, lm, sets, o), "linked")
         found = ws.put(found.unionAll(last), "found")
         labels = components(ws, found)
         ws.drop(members, sets, lm, links, more, last)

@@ -4,7 +4,7 @@ from helpers import component_ids, prose, rows, shingles, vocabulary
 
 from tesserae.llm.components import components
 from tesserae.llm._tables import Workspace
-from tesserae.llm.near_dups import near_duplicates
+from tesserae.llm.near_dups import Options, near_duplicates
 
 
 def edited(text, k, r, words):
@@ -42,9 +42,17 @@ def test_chain_of_links_and_bucket_of_two_components(spark):
     check(spark, [" ".join(long[i : i + 100]) for i in range(0, 300, 6)])
 
 
-def test_bad_rows(spark):
-    from tesserae.llm.near_dups import Options  # noqa: F401
+def test_family_in_several_blocks(spark):
+    r, words = random.Random(8), vocabulary(60)
+    base = prose(words, 120, r)
+    texts = [edited(base, r.randrange(0, 14), r, words) for _ in range(90)]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = component_ids(list(range(len(texts))), sets)
+    got = {x.doc_id: x.component_id for x in near_duplicates(rows(spark, texts), Options(block=16)).collect()}
+    assert got == want
 
+
+def test_bad_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (1, None, 2), (2, "a b c d e f", 3), (2, "a b c d e f", 3)], "doc_id bigint, text string, n bigint")
     got = sorted(near_duplicates(df).collect(), key=str)
     assert [(x.doc_id, x.component_id, x.kept) for x in got if x.doc_id is not None] == [(1, 1, True), (2, 2, True), (2, 2, True)]
