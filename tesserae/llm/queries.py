@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, licenses, mixing, near_dups, quality, repeats, secrets, toxicity
+from . import ann, chat, decontamination, licenses, mixing, near_dups, quality, repeats, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 PLANTED = "SELECT -7L AS conv_id, turn, role, '\\\\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"
 
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_near_dups": op4_near_dups,
     "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_ann": op8_ann,
     "op9_repeats": op9_repeats,
