@@ -17,6 +17,7 @@ known triples cannot match and are not embedded; this loses nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +33,8 @@ from ._text import U64, Words, grams, letter_words, mix, pieces, utf8
 class Options:
     tau: float = 0.2
     walks: int = 16
-    keys: int = 4
-    sampled: int = 2  # output places in each key
+    keys: int = 6
+    sampled: int = 3  # output places in each key
     ratio: float = 1.15  # of the longest to the shortest item of a class
     min_words: int = 3  # shorter items are no evidence and are not searched
     chunk: int = 20_000  # items searched in one pass over the documents
@@ -91,6 +92,7 @@ class Items:
         self.words = [h[s:e] for s, e in zip(w.first[:-1], w.first[1:])]
         use = [i for i, x in enumerate(self.words) if len(x) >= o.min_words]
         g, at = grams(h, w.first, 3, whole=False)
+        self.own = [np.unique(g[at[i] : at[i + 1]]) for i in range(len(self.words))]
         self.triples = np.unique(np.concatenate([*(g[at[i] : at[i + 1]] for i in use), np.zeros(0, U64)]))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.triples >> U64(44)).astype(np.int64)] = True
@@ -157,40 +159,47 @@ def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | No
     return best, int(ends[np.abs(ends - len(item)).argmin()])
 
 
-def leaks(h: np.ndarray, known: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """(item index, first word, end word, edits) of the leaks in one text of word hashes; places of one item do not overlap."""
+def leaks(h: np.ndarray, g: np.ndarray, known: np.ndarray, stop: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
+    """(item index, first word, end word, edits) of the leaks in several texts; places of one item do not overlap.
+
+    ``h`` are the words of all texts, ``g`` and ``known`` belong to the triple that begins at each
+    word (not known where none does), ``stop`` is the end of each word's text.
+    """
     o, n = items.o, len(h)
     total = np.concatenate([[0], np.cumsum(known)])
+    here = np.arange(n)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    padded = None
     for c in items.classes:
-        end = np.minimum(np.arange(n) + max(c.span - 2, 1), len(total) - 1)
-        start = np.flatnonzero(total[np.maximum(end, 0)] - total[np.minimum(np.arange(n), len(total) - 1)] >= c.need)
-        if not len(start):
-            continue
-        if padded is None:
-            padded = np.concatenate([h, np.zeros(max(x.span for x in items.classes) + 1, U64)])
-        for s in range(0, len(start), 2048):
-            at = start[s : s + 2048]
-            m = padded[at[:, None] + np.arange(c.span)]
-            m = np.concatenate([m, np.zeros((len(m), 1), U64)], 1)
-            k = items.sample(m, c)
+        start = np.flatnonzero(total[np.minimum(here + max(c.span - 2, 1), stop)] - total[:-1] >= c.need)
+        for s in range(0, len(start), 4096):
+            at = start[s : s + 4096]
+            place = at[:, None] + np.arange(c.span + 1)
+            inside = place < np.minimum(stop[at], at + c.span)[:, None]
+            k = items.sample(np.where(inside, h[np.where(inside, place, 0)], U64(0)), c)
             lo, hi = np.searchsorted(c.keys, k.ravel(), "left"), np.searchsorted(c.keys, k.ravel(), "right")
             hit = np.flatnonzero(hi > lo)
-            pairs = {(int(at[x // k.shape[1]]), int(i)) for x in hit for i in np.unique(c.items[lo[x] : hi[x]])}
-            for p, i in sorted(pairs):
-                w = items.words[i]
+            many = (hi - lo)[hit]
+            row = np.repeat(hit // k.shape[1], many)
+            item = c.items[np.repeat(lo[hit], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
+            for pair in np.unique(row * len(items.words) + item).tolist():
+                r, i = divmod(pair, len(items.words))
+                p, w = int(at[r]), items.words[i]
                 most = allowed(len(w), o)
-                got = align(w, h[p : p + len(w) + most], most)
+                end = min(int(stop[p]), p + len(w) + most)
+                # the item's own triples that must be left
+                if np.isin(g[p:end], items.own[i])[known[p:end]].sum() < max(1, kept_triples(len(w), o)):
+                    continue
+                got = align(w, h[p:end], most)
                 if got and got[0] <= most:
                     found.setdefault(i, []).append((got[0], p, p + got[1]))
     out = []
     for i, places in found.items():
-        taken: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] = []
         for d, s, e in sorted(places):
-            if all(e <= a or s >= b for _, a, b in taken):
-                taken.append((d, s, e))
-        out += [(i, s, e, d) for d, s, e in taken]
+            at = bisect_left(taken, (s, s))
+            if (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
+                taken.insert(at, (s, e))
+                out.append((i, s, e, d))
     return sorted(out)
 
 
@@ -224,17 +233,18 @@ def find(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataF
                     h = w.hashes()
                     g, at = grams(h, w.first, 3, whole=False)
                     known = items.known(g)
-                    # a text can leak only with as many known triples as the shortest class needs
-                    count = np.add.reduceat(np.append(known, False), at[:-1], dtype=np.int64) if len(at) > 1 else np.zeros(0)
-                    count[np.diff(at) == 0] = 0
-                    least = min((c.need for c in items.classes), default=1)
+                    # triples by the word where they begin
+                    n = np.diff(at)
+                    begin = np.repeat(w.first[:-1], n) + np.arange(at[-1]) - np.repeat(at[:-1], n)
+                    by_word, is_known = np.zeros(len(h), U64), np.zeros(len(h), bool)
+                    by_word[begin], is_known[begin] = g, known
+                    owner = np.repeat(np.arange(b.num_rows), np.diff(w.first))
                     rows: list[tuple] = []
                     ids = b.column("doc_id")
-                    for i in np.flatnonzero(count >= least):
-                        f = w.first[i]
-                        for item, s, e, d in leaks(h[f : w.first[i + 1]], known[at[i] : at[i + 1]], items):
-                            o_ = w.offs[i]
-                            rows.append((ids[int(i)].as_py(), int(items.ids[item]), int(w.start[f + s] - o_), int(w.end[f + max(s, e - 1)] - o_), d, len(items.words[item])))
+                    for item, s, e, d in leaks(h, by_word, is_known, w.first[1:][owner], items):
+                        doc = int(owner[s])
+                        o_ = w.offs[doc]
+                        rows.append((ids[doc].as_py(), int(items.ids[item]), int(w.start[s] - o_), int(w.end[max(s, e - 1)] - o_), d, len(items.words[item])))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "start", "end", "edits", "item_words"])
 
