@@ -94,6 +94,7 @@ class Items:
         g, at = grams(h, w.first, 3, whole=False)
         self.own = [np.unique(g[at[i] : at[i + 1]]) for i in range(len(self.words))]
         self.triples = np.unique(np.concatenate([*(g[at[i] : at[i + 1]] for i in use), np.zeros(0, U64)]))
+        self.member = np.zeros(len(self.triples), U64)  # bit n % 64: an item of class n has the triple
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.triples >> U64(44)).astype(np.int64)] = True
         self.classes: list[Class] = []
@@ -109,6 +110,8 @@ class Items:
             c.items = np.repeat(np.array(group), k.shape[1])
             by = np.argsort(k.ravel(), kind="stable")
             c.keys, c.items = k.ravel()[by], c.items[by]
+            own = np.searchsorted(self.triples, np.unique(np.concatenate([self.own[i] for i in group])))
+            self.member[own] |= U64(1 << (len(self.classes) % 64))
             self.classes.append(c)
 
     @staticmethod
@@ -166,10 +169,17 @@ def leaks(h: np.ndarray, g: np.ndarray, known: np.ndarray, stop: np.ndarray, ite
     word (not known where none does), ``stop`` is the end of each word's text.
     """
     o, n = items.o, len(h)
-    total = np.concatenate([[0], np.cumsum(known)])
     here = np.arange(n)
+    marked = np.flatnonzero(known)
+    member = items.member[np.searchsorted(items.triples, g[marked])] if len(marked) else np.zeros(0, U64)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for c in items.classes:
+    for number, c in enumerate(items.classes):
+        # triples of this class's items only
+        one = np.zeros(n, bool)
+        one[marked[(member >> U64(number % 64)) & U64(1) == 1]] = True
+        if not one.any():
+            continue
+        total = np.concatenate([[0], np.cumsum(one)])
         start = np.flatnonzero(total[np.minimum(here + max(c.span - 2, 1), stop)] - total[:-1] >= c.need)
         for s in range(0, len(start), 4096):
             at = start[s : s + 4096]
