@@ -216,53 +216,71 @@ def leaks(h: np.ndarray, g: np.ndarray, known: np.ndarray, stop: np.ndarray, ite
 FOUND = "doc_id bigint, item_id bigint, start bigint, end bigint, edits int, item_words int"
 
 
+def _passes(benchmark: DataFrame, o: Options) -> Iterator[Items]:
+    """The benchmark in chunks of about ``Options.chunk`` items: what is shipped to the workers is bounded however long it is."""
+    chunks = max(1, -(-benchmark.count() // o.chunk))
+    for chunk in range(chunks):
+        rows = benchmark.select("item_id", "text").where((F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk) & F.col("text").isNotNull() & F.col("item_id").isNotNull())
+        got = sorted({(r.item_id, r.text) for r in rows.collect()})
+        yield Items([i for i, _ in got], [t for _, t in got], o)
+
+
+def _search(b: pa.RecordBatch, items: Items) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, item_id, start byte, end byte, edits, words of the item) of the leaks in a batch."""
+    w = Words(*utf8(b.column("text")), letter_words())
+    h = w.hashes()
+    g, at = grams(h, w.first, 3, whole=False)
+    n = np.diff(at)
+    # triples by the word where they begin
+    begin = np.repeat(w.first[:-1], n) + np.arange(at[-1]) - np.repeat(at[:-1], n)
+    by_word, known = np.zeros(len(h), U64), np.zeros(len(h), bool)
+    by_word[begin], known[begin] = g, items.known(g)
+    owner = np.repeat(np.arange(b.num_rows), np.diff(w.first))
+    return [
+        (int(owner[s]), int(items.ids[i]), int(w.start[s] - w.offs[owner[s]]), int(w.end[max(s, e - 1)] - w.offs[owner[s]]), d, len(items.words[i]))
+        for i, s, e, d in leaks(h, by_word, known, w.first[1:][owner], items)
+    ]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataFrame:
     """``doc_id, item_id, start, end, edits, item_words``: every leak; start and end are byte offsets into the UTF-8 text.
 
-    The benchmark reaches the workers in chunks of ``Options.chunk`` items, one pass over the
-    documents each, so what is shipped is bounded however long the benchmark is.
-
     Edge cases: null and empty texts and items, and items under ``min_words`` words, leak nowhere;
     equal items are found under each item_id; repeated rows give repeated leaks; null doc_ids are
     kept; columns besides doc_id, item_id and text are not read; an empty table on either side gives
     no rows.  Very long texts are searched as a whole.
     """
-    spark = docs.sparkSession
-    n = benchmark.count()
-    chunks = max(1, -(-n // o.chunk))
     out: DataFrame | None = None
-    for chunk in range(chunks):
-        rows = benchmark.select("item_id", "text").where((F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk) & F.col("text").isNotNull() & F.col("item_id").isNotNull())
-        got = sorted({(r.item_id, r.text) for r in rows.collect()})
-        items = Items([i for i, _ in got], [t for _, t in got], o)
+    for items in _passes(benchmark, o):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             for whole in batches:
                 for b in pieces(whole):
-                    w = Words(*utf8(b.column("text")), letter_words())
-                    h = w.hashes()
-                    g, at = grams(h, w.first, 3, whole=False)
-                    known = items.known(g)
-                    # triples by the word where they begin
-                    n = np.diff(at)
-                    begin = np.repeat(w.first[:-1], n) + np.arange(at[-1]) - np.repeat(at[:-1], n)
-                    by_word, is_known = np.zeros(len(h), U64), np.zeros(len(h), bool)
-                    by_word[begin], is_known[begin] = g, known
-                    owner = np.repeat(np.arange(b.num_rows), np.diff(w.first))
-                    rows: list[tuple] = []
-                    ids = b.column("doc_id")
-                    for item, s, e, d in leaks(h, by_word, is_known, w.first[1:][owner], items):
-                        doc = int(owner[s])
-                        o_ = w.offs[doc]
-                        rows.append((ids[doc].as_py(), int(items.ids[item]), int(w.start[s] - o_), int(w.end[max(s, e - 1)] - o_), d, len(items.words[item])))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "start", "end", "edits", "item_words"])
+                    if rows := _search(b, items):
+                        row, *rest = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(c, t) for c, t in zip(rest, types[1:]))], names=["doc_id", "item_id", "start", "end", "edits", "item_words"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, FOUND)
         out = part if out is None else out.unionAll(part)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, into which no item leaks.  Row by row: nothing is shuffled or joined."""
+    for items in _passes(benchmark, o):
+
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in pieces(whole):
+                    bad = np.zeros(b.num_rows, bool)
+                    bad[[r[0] for r in _search(b, items)]] = True
+                    yield b.filter(pa.array(~bad))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def leaking(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataFrame:
     """One row for each document and item that leaks into it, with the number of places and the best match."""
     best = F.min(F.struct("edits", "start", "end")).alias("best")

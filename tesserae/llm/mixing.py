@@ -36,9 +36,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(size, pa.int64())], names=[*(b.schema.names[i] for i in keep), "size"])
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``: the number of ``[^\\x20\\x09-\\x0D]+`` in every whole text (null: 0)."""
-    return docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id bigint, source string, size bigint")
+def document_sizes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, source`` and the bigint columns ``carry``, and ``size``: the number of ``[^\\x20\\x09-\\x0D]+`` in every whole text (null: 0)."""
+    more = "".join(f"`{c}` bigint, " for c in carry)
+    return docs.select("doc_id", "source", *carry, "text").mapInArrow(_sizes, f"doc_id bigint, source string, {more}size bigint")
 
 
 def water_fill(sizes: DataFrame, weights: Sequence[float], total: float, max_epochs: float) -> DataFrame:
@@ -64,8 +65,8 @@ def water_fill(sizes: DataFrame, weights: Sequence[float], total: float, max_epo
     return per.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1") -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` and the bigint columns ``carry`` for every row of ``docs``.
 
     Edge cases: a null text has size 0 and is taken as often as its neighbours; null sources form
     one source, ordered last; null doc_ids share one place in the order; repeated rows are rows of
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     """
     ws = Workspace(docs.sparkSession, "mix")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    sizes = ws.put(document_sizes(docs).withColumn("h", digest), "sizes")
+    sizes = ws.put(document_sizes(docs, carry).withColumn("h", digest), "sizes")
     targets = ws.put(water_fill(sizes, weights, total, max_epochs), "targets")
     sizes = sizes.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     buckets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -90,4 +91,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     # midpoint of the words in hash order <= what the fractional repetition wants
     extra = (2 * (F.col("prior") + F.col("within")) + F.col("size") <= 2 * wanted) & (wanted > 0)
     copies = whole + F.when(extra, 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return out.select("doc_id", "source", *carry, "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and ``size, source_size, target, copies, taken``.  Equal rows without a doc_id share their largest number of copies."""
+    keyed = docs.withColumn("mix_key", F.xxhash64("text"))
+    plan = mix(keyed, carry=["mix_key"], **options)
+    plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("mix_key").alias("m_key")).agg(
+        *(F.max(c).alias(c) for c in ("size", "source_size", "target", "copies", "taken"))
+    ).where("copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("mix_key") == F.col("m_key"))
+    return keyed.join(plan.hint("shuffle_hash"), same).select(*[keyed[c] for c in docs.columns], "size", "source_size", "target", "copies", "taken")

@@ -131,3 +131,27 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "<SECRET>") -> s
         out += [text[at:s], mark]
         at = e
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, options: Options = Options(), mark: str = "<SECRET>") -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mark``; ``n_chars``, where there is one, follows.  Clean rows are unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(options)
+        for whole in batches:
+            for b in pieces(whole):
+                texts = b.column("text")
+                new: dict[int, str] = {}
+                for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, PREFILTER), False).to_numpy(zero_copy_only=False)).tolist():
+                    if spans := find(text := texts[i].as_py(), novelty):
+                        new[i] = redact(text, [(s, e) for s, e, _, _ in spans], mark)
+                if new:
+                    columns = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+                    changed = pa.array([i in new for i in range(b.num_rows)])
+                    columns["text"] = pc.replace_with_mask(texts, changed, pa.array([new[i] for i in sorted(new)], texts.type))
+                    if "n_chars" in columns:
+                        columns["n_chars"] = pc.replace_with_mask(columns["n_chars"], changed, pa.array([len(new[i]) for i in sorted(new)], columns["n_chars"].type))
+                    b = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                yield b
+
+    return docs.mapInArrow(run, docs.schema)
