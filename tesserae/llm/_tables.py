@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -38,10 +39,16 @@ class Workspace:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", compression).parquet(path)
+        self.release()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tesserae_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs: its cleaner acts once the driver has collected its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:

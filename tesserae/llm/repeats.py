@@ -35,12 +35,13 @@ from ._text import U64, _powers, _values, mix, pieces, utf8
 from .suffix_sort import lcp, sort
 
 SEGMENT = 1 << 19
+BITS = 14  # of a context's length on one side; leaves 35 bits for the position
 
 
 @dataclass(frozen=True)
 class Options:
     length: int = 400
-    gram: int = 64
+    gram: int = 192
     limit: int = 2000  # contexts of one gram that one task may sort
 
 
@@ -90,7 +91,7 @@ def anchors(buf: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def scan(docs: DataFrame, o: Options) -> DataFrame:
-    """``doc_id, t_hash, gram, context, pos, lo, hi`` for the anchors of every text; lo and hi bound the context."""
+    """``doc_id, t_hash, gram, context, place`` for the anchors of every text; place packs the position and the context's length on either side (see :func:`_unpack`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -102,24 +103,31 @@ def scan(docs: DataFrame, o: Options) -> DataFrame:
                 pos, gram, ctx = (np.concatenate([f[k] for f in found]) for k in range(3))
                 size = np.repeat(np.diff(offs), n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(at), b.column("t_hash").take(at), pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(pos), pa.array(np.maximum(pos - (o.length - o.gram), 0)), pa.array(np.minimum(pos + o.length, size))],
-                    names=["doc_id", "t_hash", "gram", "context", "pos", "lo", "hi"],
+                    [b.column("doc_id").take(at), b.column("t_hash").take(at), pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array((pos << 2 * BITS) | (np.minimum(pos, o.length - o.gram) << BITS) | np.minimum(o.length, size - pos))],
+                    names=["doc_id", "t_hash", "gram", "context", "place"],
                 )
 
-    return docs.select("doc_id", "t_hash", "text").mapInArrow(run, "doc_id bigint, t_hash int, gram bigint, context bigint, pos bigint, lo bigint, hi bigint")
+    return docs.select("doc_id", "t_hash", "text").mapInArrow(run, "doc_id bigint, t_hash int, gram bigint, context bigint, place bigint")
 
 
-def repeated(left: list[bytes], right: list[bytes], length: int, shared: int) -> list[tuple[int, int, int]]:
-    """(member, l, r): the strings from l bytes before a member's anchor to r bytes after it that another member has too, with l + r >= length.
+def _unpack(rows: DataFrame) -> DataFrame:
+    """``pos, lo, hi`` (bytes of the text) in place of ``place``."""
+    side = (1 << BITS) - 1
+    pos = F.shiftright("place", 2 * BITS)
+    return rows.withColumns({"pos": pos, "lo": pos - F.shiftright("place", BITS).bitwiseAND(F.lit(side)), "hi": pos + F.col("place").bitwiseAND(F.lit(side))}).drop("place")
 
-    ``left`` are reversed left contexts, ``right`` begin at the anchor and agree on ``shared`` bytes.
+
+def repeated(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(member, l, r): the strings from l bytes before a member's gram to r bytes after it that another member has too, with l + r >= length.
+
+    ``left`` are reversed left contexts, ``right`` begin after the gram that all share.
     """
     m = len(left)
     out: list[tuple[int, int, int]] = []
     if m == 2:
-        l, r = lcp(left[0], left[1]), lcp(right[0], right[1], shared)
+        l, r = lcp(left[0], left[1]), lcp(right[0], right[1])
         return [(0, l, r), (1, l, r)] if l + r >= length else []
-    order, common = sort(right, shared)
+    order, common = sort(right)
     by_left, _ = sort(left)
     rank = [0] * m
     for k, i in enumerate(by_left):
@@ -153,7 +161,7 @@ def repeated(left: list[bytes], right: list[bytes], length: int, shared: int) ->
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, o: Options) -> DataFrame:
-    """The bytes of the wanted contexts: ``gram, doc_id, t_hash, pos, single, before, after`` (before is reversed)."""
+    """The bytes of the wanted contexts around the gram: ``gram, doc_id, t_hash, pos, single, before, after`` (before is reversed)."""
     places = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("t_hash").alias("w_hash")).agg(F.collect_list(F.struct("gram", "pos", "lo", "hi", "single")).alias("at"))
     texts = docs.select("doc_id", "t_hash", "text").join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("t_hash") == F.col("w_hash")))
     texts = texts.select("doc_id", "t_hash", "text", "at")
@@ -168,13 +176,13 @@ def contexts(docs: DataFrame, wanted: DataFrame, o: Options) -> DataFrame:
                 p, l, r = (base + x.to_numpy() for x in (pos, lo, hi))
                 raw = buf.tobytes()
                 before = pa.array([raw[x:y][::-1] for x, y in zip(l.tolist(), p.tolist())], pa.binary())
-                after = pa.array([raw[x:y] for x, y in zip(p.tolist(), r.tolist())], pa.binary())
+                after = pa.array([raw[x:y] for x, y in zip((p + o.gram).tolist(), r.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([gram, b.column("doc_id").take(owner), b.column("t_hash").take(owner), pos, single, before, after], names=["gram", "doc_id", "t_hash", "pos", "single", "before", "after"])
 
     return texts.mapInArrow(run, "gram bigint, doc_id bigint, t_hash int, pos bigint, single boolean, before binary, after binary")
 
 
-def _resolve(rows: DataFrame, o: Options, shared: int) -> DataFrame:
+def _resolve(rows: DataFrame, o: Options) -> DataFrame:
     """Sorts each small group of contexts; ``rows`` arrive by group.  Gives ``doc_id, t_hash, lo, hi`` to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +191,14 @@ def _resolve(rows: DataFrame, o: Options, shared: int) -> DataFrame:
         def flush() -> list[tuple]:
             out = []
             if len(group) > 1:
-                hits = repeated([g[4] for g in group], [g[5] for g in group], o.length, shared)
+                hits = repeated([g[4] for g in group], [g[5] for g in group], o.length - o.gram)
                 best: dict[int, list[tuple[int, int]]] = {}
                 for i, l, r in hits:
                     if group[i][3]:
                         best.setdefault(i, []).append((l, r))
                 for i, spans in best.items():
                     d, t, p = group[i][:3]
-                    out += [(d, t, p - l, p + r) for l, r in set(spans)]
+                    out += [(d, t, p - l, p + o.gram + r) for l, r in set(spans)]
             return out
 
         for b in batches:
@@ -214,9 +222,9 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "t_hash", "lo", "hi"])
 
 
-def _small(ws: Workspace, rows: DataFrame, o: Options, shared: int) -> DataFrame:
+def _small(ws: Workspace, rows: DataFrame, o: Options) -> DataFrame:
     at = rows.repartition("group").sortWithinPartitions("group")
-    return ws.put(_resolve(at.select("group", "doc_id", "t_hash", "pos", "single", "before", "after"), o, shared), "spans")
+    return ws.put(_resolve(at.select("group", "doc_id", "t_hash", "pos", "single", "before", "after"), o), "spans")
 
 
 def _large(ws: Workspace, rows: DataFrame, o: Options) -> DataFrame | None:
@@ -227,17 +235,17 @@ def _large(ws: Workspace, rows: DataFrame, o: Options) -> DataFrame | None:
         mid = F.floor((F.col("j0") + F.col("j1")) / 2).cast("int")
         both = rows.withColumn("half", F.explode(F.array(F.struct(F.col("j0").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("j1").alias("b")))))
         both = both.withColumn("j0", F.col("half.a")).withColumn("j1", F.col("half.b")).where("j0 <= j1").drop("half")
-        # all windows of this half reach from j0 bytes before the anchor to length - j1 bytes after it
-        both = both.where((F.length("before") >= F.col("j0")) & (F.length("after") >= o.length - F.col("j1")))
-        key = F.xxhash64("group", "j0", "j1", F.expr("substring(before, 1, j0)"), F.expr(f"substring(after, 1, {o.length} - j1)"))
+        # all windows of this half reach from j0 bytes before the gram to length - gram - j1 bytes after it
+        both = both.where((F.length("before") >= F.col("j0")) & (F.length("after") >= o.length - o.gram - F.col("j1")))
+        key = F.xxhash64("group", "j0", "j1", F.expr("substring(before, 1, j0)"), F.expr(f"substring(after, 1, {o.length - o.gram} - j1)"))
         both = ws.put(both.withColumn("group", key), "halves", "lz4")
         n = both.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
         both = ws.put(both.join(n, F.col("group") == F.col("g")).drop("g"), "halves", "lz4")
         last = both.where("j0 = j1 AND single").select("doc_id", "t_hash", (F.col("pos") - F.col("j0")).alias("lo"), (F.col("pos") - F.col("j0") + o.length).alias("hi"))
         # a small group answers for its own windows only: cut the contexts to them
         few = both.where(F.col("n").between(2, o.limit) & (F.col("j0") < F.col("j1")))
-        few = few.withColumn("before", F.expr("substring(before, 1, j1)")).withColumn("after", F.expr(f"substring(after, 1, {o.length} - j0)"))
-        part = ws.put(last, "spans").unionAll(_small(ws, few, o, 0))
+        few = few.withColumn("before", F.expr("substring(before, 1, j1)")).withColumn("after", F.expr(f"substring(after, 1, {o.length - o.gram} - j0)"))
+        part = ws.put(last, "spans").unionAll(_small(ws, few, o))
         spans = part if spans is None else spans.unionAll(part)
         rows = both.where((F.col("n") > o.limit) & (F.col("j0") < F.col("j1"))).drop("n")
     return spans
@@ -259,17 +267,17 @@ def remove_repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
         twice = found.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")
         found_twice = ws.put(found.join(twice, F.col("gram") == F.col("g"), "left_semi"), "repeated")
         ws.drop(found)
-        stats = found_twice.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t_hash", "pos", "lo", "hi")).alias("first"))
+        stats = found_twice.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t_hash", "place")).alias("first"))
         stats = ws.put(stats, "contexts")
         copies = stats.where("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"))
-        whole = found_twice.join(copies, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")), "left_semi").where(F.col("hi") - F.col("lo") >= o.length)
-        spans = ws.put(whole.select("doc_id", "t_hash", "lo", "hi"), "spans")
+        whole = _unpack(found_twice.join(copies, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")), "left_semi"))
+        spans = ws.put(whole.where(F.col("hi") - F.col("lo") >= o.length).select("doc_id", "t_hash", "lo", "hi"), "spans")
         ws.drop(found_twice)
 
         # grams with several contexts: one representative of each, compared with the others
         varied = stats.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("v")).where("v > 1")
         wanted = stats.join(varied, F.col("gram") == F.col("g")).select("gram", "first.*", (F.col("n") == 1).alias("single"), "v")
-        wanted = ws.put(wanted, "wanted")
+        wanted = _unpack(ws.put(wanted, "wanted"))
         bytes_ = ws.put(contexts(docs, wanted, o), "bytes", "lz4").withColumnRenamed("gram", "group")
         large = ws.put(wanted.where(F.col("v") > o.limit).select(F.col("gram").alias("g")).distinct(), "large")
         if large.limit(1).count():
@@ -277,7 +285,7 @@ def remove_repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
             rest = _large(ws, bytes_.join(large, F.col("group") == F.col("g"), "left_semi"), o)
         else:
             small, rest = bytes_, None
-        spans = spans.unionAll(_small(ws, small, o, o.gram))
+        spans = spans.unionAll(_small(ws, small, o))
         if rest is not None:
             spans = spans.unionAll(rest)
 
