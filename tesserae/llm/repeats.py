@@ -21,7 +21,7 @@ is left, where equal hashes are equal windows.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +42,7 @@ BITS = 14  # of a context's length on one side; leaves 35 bits for the position
 class Options:
     length: int = 400
     gram: int = 192
-    limit: int = 2000  # contexts of one gram that one task may sort
+    limit: int = 20_000  # contexts of one gram that one task may sort: some 8 MB
 
 
 def _slide(v: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
@@ -154,7 +154,11 @@ def repeated(left: list[bytes], right: list[bytes], length: int) -> list[tuple[i
                 l = lcp(left[i], left[j])
                 if l + r >= length:
                     out += [(i, l, r), (j, l, r)]
-        sets[b] = sorted(x + y)  # two runs: one merge
+        if len(x) < 16:
+            for v in x:
+                insort(y, v)
+        else:
+            sets[b] = sorted(x + y)  # two runs: one merge
         sets[a] = None
         head[a] = b
     return out
