@@ -44,9 +44,10 @@ def saturating(c: Column, source: str, target: str) -> Column:
     if target not in INTEGERS:
         raise UnsupportedError(f"cannot convert {source} to {target}")
     kind, lo, hi = INTEGERS[target]
+    number = lambda v: F.lit(str(v)).cast(kind) if abs(v) >= 2**63 else F.lit(v).cast(kind)
     if source in FLOATS:
         x = c.cast("double")
-        low, high = F.lit(lo).cast(kind), F.lit(hi).cast(kind)
+        low, high = number(lo), number(hi)
         # NaN first: Spark orders it above every number
         inside = F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)) if target != "u64" else F.floor(x.cast("decimal(38,6)"))
         return F.when(F.isnan(x), F.lit(0).cast(kind)).when(x <= float(lo), low).when(x >= float(hi), high).otherwise(inside.cast(kind))
@@ -56,9 +57,9 @@ def saturating(c: Column, source: str, target: str) -> Column:
     wide = "decimal(20,0)" if "u64" in (source, target) else "bigint"
     x = c.cast(wide)
     if slo < lo:
-        x = F.greatest(x, F.lit(lo).cast(wide))
+        x = F.greatest(x, F.lit(str(lo)).cast(wide))
     if shi > hi:
-        x = F.least(x, F.lit(hi).cast(wide))
+        x = F.least(x, F.lit(str(hi)).cast(wide))
     return x.cast(kind)
 
 

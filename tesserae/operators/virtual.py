@@ -63,12 +63,10 @@ class VirtualArray:
 
     def read(self) -> ArrayFrame:
         axes = [axis(i) for i in range(self.shape.rank)]
-        out = grid(self._spark(), self.shape).join(self.elements(), axes, "left") if axes else self.elements()
+        found = self.elements()
+        out = grid(found.sparkSession, self.shape).join(found, axes, "left") if axes else found
         return ArrayFrame(out.select(*axes, F.coalesce("value", F.lit(self.fill)).alias("value")), self.shape, fill=self.fill)
 
-    def _spark(self):
-        return next(m.source for m in self.mappings if m.source is not None).spark
-
     def table(self) -> list[dict]:
         """The mappings as plain rows."""
         return [{"mapping": i, "missing": m.source is None, "src": m.src.encode(), "dst": m.dst.encode()} for i, m in enumerate(self.mappings)]
