@@ -119,6 +119,7 @@ def narrow(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFra
     bounds m; members whose bucket has no such partner are done.
     """
     mixed = lm.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
+    mixed = ws.put(mixed, "buckets")
     lm = ws.put(lm.select("key", "rep", "n", "label").join(mixed.select(F.col("key").alias("m_key"), "least"), F.col("key") == F.col("m_key")).drop("m_key"), "mixed")
     who = lm.select("rep", "label").distinct()
     held = who.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "label", "members")
@@ -134,6 +135,7 @@ def narrow(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFra
 
     held = ws.put(held.mapInArrow(spread, "rep bigint, label bigint, h bigint"), "held")
     several = held.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("h").alias("s_h"))
+    several = ws.put(several, "several")
     shared = held.join(several, F.col("h") == F.col("s_h"), "left_semi").groupBy(F.col("rep").alias("s_rep")).agg(F.count("*").alias("s"))
     out = lm.join(shared, F.col("rep") == F.col("s_rep")).withColumn("most", F.floor(F.col("s") * (100 + o.percent) / o.percent - F.col("n")))
     out = ws.put(out.where(F.col("most") >= F.greatest("least", F.ceil(F.col("n") * o.percent / 100))).select("key", "rep", "n", "label", "most"), "narrow")
@@ -230,7 +232,9 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
         some = prints.where("n > 0 AND doc_id IS NOT NULL")
         classes = ws.put(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
         keys = classes.select("rep", "n", F.explode("bands").alias("key"))
+        # written first, so that both sides of the join are plain shuffles, whose hot keys Spark can split
         centre = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("c_key"), "c")
+        centre = ws.put(centre, "centres")
         members = keys.join(centre, F.col("key") == F.col("c_key")).select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("c_n"))
         members = ws.put(members, "members")
         wanted = members.select(F.col("rep").alias("w")).distinct()

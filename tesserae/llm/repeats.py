@@ -243,7 +243,7 @@ def _large(ws: Workspace, rows: DataFrame, o: Options) -> DataFrame | None:
         both = both.where((F.length("before") >= F.col("j0")) & (F.length("after") >= o.length - o.gram - F.col("j1")))
         key = F.xxhash64("group", "j0", "j1", F.expr("substring(before, 1, j0)"), F.expr(f"substring(after, 1, {o.length - o.gram} - j1)"))
         both = ws.put(both.withColumn("group", key), "halves", "lz4")
-        n = both.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
+        n = ws.put(both.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         both = ws.put(both.join(n, F.col("group") == F.col("g")).drop("g"), "halves", "lz4")
         last = both.where("j0 = j1 AND single").select("doc_id", "t_hash", (F.col("pos") - F.col("j0")).alias("lo"), (F.col("pos") - F.col("j0") + o.length).alias("hi"))
         # a small group answers for its own windows only: cut the contexts to them
@@ -268,18 +268,19 @@ def remove_repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     docs = docs.select("doc_id", F.hash("text").alias("t_hash"), "text")
     with small_batches(spark):
         found = ws.put(scan(docs, o), "anchors")
-        twice = found.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")
+        # small sides are written first: then both sides of a join are plain shuffles, whose hot keys Spark can split
+        twice = ws.put(found.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g"), "twice")
         found_twice = ws.put(found.join(twice, F.col("gram") == F.col("g"), "left_semi"), "repeated")
         ws.drop(found)
         stats = found_twice.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t_hash", "place")).alias("first"))
         stats = ws.put(stats, "contexts")
-        copies = stats.where("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"))
+        copies = ws.put(stats.where("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c")), "copies")
         whole = _unpack(found_twice.join(copies, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")), "left_semi"))
         spans = ws.put(whole.where(F.col("hi") - F.col("lo") >= o.length).select("doc_id", "t_hash", "lo", "hi"), "spans")
         ws.drop(found_twice)
 
         # grams with several contexts: one representative of each, compared with the others
-        varied = stats.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("v")).where("v > 1")
+        varied = ws.put(stats.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("v")).where("v > 1"), "varied")
         wanted = stats.join(varied, F.col("gram") == F.col("g")).select("gram", "first.*", (F.col("n") == 1).alias("single"), "v")
         wanted = _unpack(ws.put(wanted, "wanted"))
         bytes_ = ws.put(contexts(docs, wanted, o), "bytes", "lz4").withColumnRenamed("gram", "group")
