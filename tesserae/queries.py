@@ -17,7 +17,7 @@ from .functions.convert import saturating, saturating_array
 from .operators import chunks, mutation, namespace, selections, virtual
 from .plans.selection import Combined, Everything, Hyperslab, Nothing, Points, Selection, Slices, Span, coordinates, from_index
 from .shape import Shape
-from .sources import codecs
+from .sources import binary, codecs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +103,21 @@ def chunked(spark, sf_dir):
     return chunks.from_chunks(chunks.to_chunks(a), a).elements()
 
 
+def _container(name: str, **how) -> None:
+    """An array written as container files by tasks and read again."""
+
+    @query(name, "SELECT o_orderkey AS d0, o_totalprice AS value FROM orders")
+    def run(spark, sf_dir):
+        return binary.from_containers(binary.to_containers(prices(spark, sf_dir).df, 5000, **how))
+
+
+PACKED = (codecs.Filter("shuffle"), codecs.Filter("deflate", {"level": 1}), codecs.Filter("fletcher32"))
+_container("src_14_btree_v1", chunk=512, filters=PACKED, old=True)
+_container("src_15_single_chunk", chunk=5000, filters=PACKED)
+_container("src_17_fixed_array", chunk=512, filters=PACKED)
+_container("src_18_extensible_array", chunk=64, growable=1, filters=PACKED)
+_container("src_19_btree_v2", chunk=512, growable=2, filters=PACKED)
+
 SPARSE = "value > 0.2"
 
 

@@ -13,6 +13,7 @@ from functools import cached_property
 from math import prod
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 from ..errors import FormatError, UnsupportedError
@@ -34,8 +35,12 @@ class Bytes:
 
     BLOCK = 1 << 18
 
-    def __init__(self, path: str, keep: int = 64):
+    def __init__(self, path: str | bytes, keep: int = 64):
         try:
+            if isinstance(path, bytes):
+                path, self.file = "bytes", pa.BufferReader(path)
+                self.size, self.keep, self.blocks = self.file.size(), keep, {}
+                return
             fs, p = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
             self.file = fs.open_input_file(p)
         except OSError as e:
@@ -296,8 +301,8 @@ class Header:
 class Container:
     """An open file."""
 
-    def __init__(self, path: str, opener: Callable[[str], Container] | None = None):
-        self.path, self.bytes = path, Bytes(path)
+    def __init__(self, path: str | bytes, opener: Callable[[str], Container] | None = None):
+        self.path, self.bytes = path if isinstance(path, str) else "", Bytes(path)
         self._open = opener or (lambda p: Container(p))
         at = 0
         while at + 8 <= self.bytes.size and self.bytes.read(at, 8) != SIGNATURE:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import prod
+from typing import BinaryIO
 
 import numpy as np
 
@@ -107,11 +108,11 @@ class _Data:
 class ContainerWriter:
     """Groups, datasets, links and attributes are collected, then written by :meth:`close`."""
 
-    def __init__(self, path: str, old: bool = False, userblock: int = 0, exclusive: bool = False):
+    def __init__(self, path: str | BinaryIO, old: bool = False, userblock: int = 0, exclusive: bool = False):
         if userblock and (userblock < 512 or userblock & userblock - 1):
             raise FormatError("a user block has 512 bytes or a higher power of two")
         self.path, self.old, self.userblock = path, old, userblock
-        self.file = open(path, "xb" if exclusive else "wb")
+        self.file = open(path, "xb" if exclusive else "wb") if isinstance(path, str) else path
         self.file.write(bytes(userblock))
         self.at = 0
         self.alloc(b"\0" * 96)
@@ -123,7 +124,7 @@ class ContainerWriter:
     def __exit__(self, kind, *_) -> None:
         if kind is None:
             self.close()
-        else:
+        elif isinstance(self.path, str):
             self.file.close()
 
     def alloc(self, data: bytes) -> int:
@@ -541,4 +542,5 @@ class ContainerWriter:
             data += u(codecs.lookup3(data), 4)
         self.file.seek(self.userblock)
         self.file.write(data)
-        self.file.close()
+        if isinstance(self.path, str):
+            self.file.close()
