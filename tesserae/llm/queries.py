@@ -40,7 +40,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
