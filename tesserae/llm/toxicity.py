@@ -34,7 +34,7 @@ class Options:
     prefixes: tuple[int, ...] = (3, 4, 5, 6)  # bytes of word beginnings that are features
     min_count: int = 5  # training documents that hold a feature
     min_odds: float = 4.0  # how much more often one label has it than the other
-    min_gain: float = 6.0  # likelihood-ratio statistic of feature against label
+    min_gain: float = 1.5  # likelihood-ratio statistic of feature against label
     max_features: int = 20_000
     block: int = 64
     k: int = 16
