@@ -18,6 +18,9 @@ from .operators import chunks, mutation, namespace, selections, virtual
 from .plans.selection import Combined, Everything, Hyperslab, Nothing, Points, Selection, Slices, Span, coordinates, from_index
 from .shape import Shape
 from .sources import binary, codecs
+from .sources.scratch import scratch
+from .sources.store import DatasetOptions, Store
+from .streaming import growth
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +121,32 @@ _container("src_17_fixed_array", chunk=512, filters=PACKED)
 _container("src_18_extensible_array", chunk=64, growable=1, filters=PACKED)
 _container("src_19_btree_v2", chunk=512, growable=2, filters=PACKED)
 
+
+
+@query("src_01_container_tree", "SELECT f AS file, '/data' AS path, 'hard' AS link, 'dataset' AS kind, '[' || least(5000, (SELECT count(*) FROM orders) - 5000 * f) || ']' AS shape, 'double' AS type, 'fixed array' AS layout, 'shuffle,deflate,fletcher32' AS filters FROM range(((SELECT count(*) FROM orders) + 4999) // 5000) t(f)")
+def container_tree(spark, sf_dir):
+    """What is in each container file."""
+    return binary.trees(binary.to_containers(prices(spark, sf_dir).df, 5000, chunk=500, filters=PACKED))
+
+
+@query("src_03_growth_append", "SELECT event_id AS d0, ts, value FROM events")
+def growth_append(spark, sf_dir):
+    """A growing array written as a stream of appended files, exactly once, and read again."""
+    root = scratch(spark, "growth")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("d0"), "ts", "value")
+    e.repartitionByRange(4, "d0").write.parquet(f"{root}/in")
+    stream = growth.read_growth(spark, f"{root}/in", e.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    growth.append(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{root}/out")
+
+
+@query("src_03b_growth_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def growth_windows(spark, sf_dir):
+    """The windows of the stream operator, over what has arrived."""
+    w = growth.windowed(table(spark, sf_dir, "events"), "ts", "value", "1 hour", "1 hour", by="event_type")
+    return w.select("start", "event_type", "n")
+
+
 SPARSE = "value > 0.2"
 
 
@@ -701,3 +730,90 @@ def snk_write_chunks(spark, sf_dir):
     """Every chunk that the new elements touch is replaced."""
     new = coordinates(spark, Slices((100, 200), (16, 48)), Shape((500, 64))).select("d0", "d1", F.lit(0.0).alias("value"))
     return mutation.write_chunks(_resizable(spark, sf_dir), new).elements()
+
+
+# stores: what is written is read again from the shared folder
+
+
+def _store(spark, sf_dir) -> Store:
+    s = Store(spark, scratch(spark, "store"), "x")
+    s.create_group("/run")
+    return s
+
+
+@query("snk_04_store_write", f"SELECT d0, d1, value FROM {E}")
+def snk_store_write(spark, sf_dir):
+    s = _store(spark, sf_dir)
+    s.write("/run/embeddings", matrix(spark, sf_dir), DatasetOptions(chunk=(100, 64)))
+    return s.read("/run/embeddings").elements()
+
+
+@query("snk_04b_store_select", f"SELECT d0, d1, value FROM {E} WHERE d0 >= 150 AND d0 < 350 AND (d0 - 150) % 2 = 0 AND d1 >= 10 AND d1 < 20")
+def snk_store_select(spark, sf_dir):
+    """A selection that lists only the chunk folders of its bounding box."""
+    s = _store(spark, sf_dir)
+    s.write("/run/embeddings", matrix(spark, sf_dir), DatasetOptions(chunk=(100, 64)))
+    return s.select("/run/embeddings", Slices((150, 350, 2), (10, 20)))
+
+
+@query("snk_05_fill_only", "SELECT i AS d0, -5::BIGINT AS value FROM range(1000) t(i)")
+def snk_fill_only(spark, sf_dir):
+    """A dataset without elements reads as its fill value."""
+    from .array import filled
+
+    s = _store(spark, sf_dir)
+    empty = spark.createDataFrame([], "d0 bigint, value bigint")
+    s.write("/run/empty", ArrayFrame(empty, Shape((1000,)), fill=-5))
+    return filled(s.read("/run/empty")).elements()
+
+
+@query("snk_06_sparse_chunks", f"SELECT d0, d1, CASE WHEN (d0 // 100) % 2 = 0 THEN value ELSE 0 END AS value FROM {E}")
+def snk_sparse(spark, sf_dir):
+    """Only every other chunk is stored."""
+    from .array import filled
+
+    s, a = _store(spark, sf_dir), matrix(spark, sf_dir)
+    some = a.df.where(F.call_function("div", F.col("d0"), F.lit(100).cast("bigint")) % 2 == 0)
+    s.write("/run/sparse", ArrayFrame(some, a.shape, fill=0.0), DatasetOptions(chunk=(100, 64)))
+    return filled(s.read("/run/sparse")).elements()
+
+
+@query("snk_14c_store_resize", f"SELECT d0, d1, value FROM {E} WHERE d0 < 130")
+def snk_store_resize(spark, sf_dir):
+    """Shrunk and grown again in storage: what was cut off is gone."""
+    s, a = _store(spark, sf_dir), matrix(spark, sf_dir)
+    s.write("/run/grow", a, DatasetOptions(chunk=(100, 64), max_dims=(None, 64)))
+    s.resize("/run/grow", (130, 64))
+    s.resize("/run/grow", a.shape.dims)
+    return s.read("/run/grow").elements()
+
+
+@query("snk_15c_store_overwrite", f"SELECT d0, d1, CASE WHEN d0 BETWEEN 120 AND 129 THEN 1.5 ELSE value END AS value FROM {E}")
+def snk_store_overwrite(spark, sf_dir):
+    """Elements are replaced by rewriting the chunk folders that hold them."""
+    s, a = _store(spark, sf_dir), matrix(spark, sf_dir)
+    s.write("/run/data", a, DatasetOptions(chunk=(100, 64)))
+    s.write_elements("/run/data", a.df.where(F.col("d0").between(120, 129)).withColumn("value", F.lit(1.5)))
+    return s.read("/run/data").elements()
+
+
+@query("snk_16_attributes", "SELECT * FROM (VALUES ('kept', '1'), ('new', '[1, 2]')) t(name, value)")
+def snk_attributes(spark, sf_dir):
+    """Attributes written, renamed and deleted."""
+    s = _store(spark, sf_dir)
+    for k, v in (("kept", 1), ("old", [1, 2]), ("gone", "x")):
+        s.set_attr("/run", k, v)
+    s.rename_attr("/run", "old", "new")
+    s.delete_attr("/run", "gone")
+    return s.table("attrs").select("name", "value")
+
+
+@query("snk_18_links", "SELECT * FROM (VALUES ('alias', 'soft'), ('moved', 'hard')) t(name, kind)")
+def snk_links(spark, sf_dir):
+    """Links made, moved and removed."""
+    s = _store(spark, sf_dir)
+    s.link_soft("/alias", "/run")
+    s.link_hard("/twin", "/run")
+    s.move("/run", "/moved")
+    s.unlink("/twin")
+    return s.namespace.list("/").select("name", "kind")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError
 from .codecs import Filter
-from .container import Container
+from .container import Container, Dataset
 from .container_writer import ContainerWriter
 
 
@@ -58,3 +58,27 @@ def from_containers(files: DataFrame, name: str = "/data", kind: str = "double",
                     yield pa.RecordBatch.from_arrays([pa.array(coords[:, 0] + first), pa.array(values)], names=["d0", "value"])
 
     return files.select(content).mapInArrow(run, f"d0 bigint, value {kind}")
+
+
+TREE = "file bigint, path string, link string, kind string, shape string, type string, layout string, filters string"
+
+
+def trees(files: DataFrame, key: str = "file", content: str = "content") -> DataFrame:
+    """The tree of every container: path, link and object kind, and shape, type, storage and filters of datasets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "path", "link", "kind", "shape", "type", "layout", "filters"]
+        for b in batches:
+            rows = []
+            for k, raw in zip(b.column(key).to_pylist(), b.column(content)):
+                c = Container(raw.as_py())
+                for path, link, kind, target in c.walk():
+                    if kind == "dataset":
+                        d = Dataset(c, target)
+                        rows.append((k, path, link, kind, str(list(d.shape.dims or ())), d.type.spark(), d.layout.get("index", d.layout["kind"]), ",".join(n for n, _ in d.filters)))
+                    else:
+                        rows.append((k, path, link, kind or None, None, None, None, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(zip(*rows))], names=names)
+
+    return files.select(key, content).mapInArrow(run, TREE)
