@@ -18,6 +18,7 @@ import pyarrow.fs as pafs
 
 from ..errors import FormatError, UnsupportedError
 from ..functions.text import canonical
+from ..plans.selection import Everything, Hyperslab, Nothing, Points, Selection, Span
 from ..shape import Shape
 from .codecs import REGISTRY, Bits, Filter, Pipeline, lookup3, unpack_bits
 
@@ -764,6 +765,49 @@ def decode(data: bytes, t: Type, n: int, file: Container | None) -> list:
     return cut
 
 
+def read_selection(c: Cursor, shape: Shape) -> Selection | list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """A stored selection; an irregular one is a list of blocks (inclusive corners)."""
+    kind, version = c.num(4), c.num(4)
+    if kind in (0, 3):
+        c.take(8)
+        return Nothing() if kind == 0 else Everything()
+    if kind == 1:
+        if version == 1:
+            c.take(8)
+            size = 4
+            rank, n = c.num(4), c.num(4)
+        elif version == 2:
+            size = c.num(1)
+            rank, n = c.num(4), c.num(size)
+        else:
+            raise UnsupportedError(f"point selection version {version}")
+        return Points([[c.num(size) for _ in range(rank)] for _ in range(n)])
+    if kind != 2:
+        raise FormatError(f"selection kind {kind}")
+    flags, size = 0, 4
+    if version == 1:
+        c.take(8)
+    elif version == 2:
+        flags, size = c.num(1), 8
+        c.take(4)
+    elif version == 3:
+        flags, size = c.num(1), c.num(1)
+    else:
+        raise UnsupportedError(f"block selection version {version}")
+    rank = c.num(4)
+    if flags & 1:
+        endless = (1 << 8 * size) - 1
+        spans = []
+        for _ in range(rank):
+            start, stride, count, block = (c.num(size) for _ in range(4))
+            if block == endless:
+                start, stride, count, block = start, 1, None, 1
+            spans.append(Span(start, max(stride, 1), None if count in (endless, None) else count, block))
+        return Hyperslab(*spans)
+    n = c.num(size)
+    return [(tuple(c.num(size) for _ in range(rank)), tuple(c.num(size) for _ in range(rank))) for _ in range(n)]
+
+
 @dataclass
 class Dataset:
     """A dataset's metadata; its elements come from :meth:`pieces`."""
@@ -889,6 +933,29 @@ class Dataset:
             out.append((names[name : names.index(b"\0", name)].decode(), at, size))
         return out
 
+    def external_bytes(self) -> bytes:
+        """Raw data kept outside, joined in order; too few bytes are an error."""
+        folder = self.file.path.rsplit("/", 1)[0] if "/" in self.file.path else "."
+        want, out = self.shape.size * self.type.size, b""
+        for name, at, size in self.external_pieces():
+            b = Bytes(name if name.startswith("/") else f"{folder}/{name}")
+            out += b.read(at, min(size, want - len(out)))
+        if len(out) < want:
+            raise FormatError(f"{len(out)} bytes in other files, {want} expected")
+        return out
+
+    def mappings(self) -> list[tuple[str, str, object, object]]:
+        """(file, dataset, source selection, own selection) of a virtual dataset, in order."""
+        if self.layout["kind"] != "virtual":
+            raise FormatError("not a virtual dataset")
+        body = self.file.heap_object(self.layout["at"], self.layout["index"])
+        if lookup3(body[:-4]) != int.from_bytes(body[-4:], "little"):
+            raise FormatError("checksum of a mapping list differs")
+        c = self.file._c(body[:-4])
+        if c.num(1) != 0:
+            raise UnsupportedError("mapping list version")
+        return [(c.text(), c.text(), read_selection(c, self.shape), read_selection(c, self.shape)) for _ in range(c.length())]
+
     # chunk indexes
 
     def _grid(self) -> tuple[int, ...]:
@@ -1088,6 +1155,8 @@ class Dataset:
         n = self.shape.size
         if self.layout["kind"] == "compact":
             return decode(self.layout["data"], self.type, n, self.file)
+        if self.external_pieces():
+            return decode(self.external_bytes(), self.type, n, self.file)
         out = [self.fill_value()] * n
         steps = self.shape.strides
         for p in self.pieces():

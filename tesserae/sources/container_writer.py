@@ -16,9 +16,10 @@ import numpy as np
 from ..errors import FormatError, UnsupportedError
 from ..functions.text import canonical
 from ..operators.chunks import index_kind
+from ..plans.selection import Everything, Hyperslab, Nothing, Points, Selection, Slices
 from ..shape import Shape
 from . import codecs
-from .container import ATTRIBUTE, ATTRIBUTE_INFO, DATASPACE, DATATYPE, FILL, FILTERS, LAYOUT, LINK, LINK_INFO, SIGNATURE, SYMBOLS, UNDEFINED
+from .container import ATTRIBUTE, ATTRIBUTE_INFO, DATASPACE, DATATYPE, EXTERNAL, FILL, FILTERS, LAYOUT, LINK, LINK_INFO, SIGNATURE, SYMBOLS, UNDEFINED
 
 NONE = b"\xff" * 8
 u = lambda n, size: int(n).to_bytes(size, "little")
@@ -102,7 +103,24 @@ class _Data:
     compact: bool
     only: set | None  # chunks to store, None for all
     attrs: dict[str, tuple[object, np.ndarray]] = field(default_factory=dict)
-    external: list | None = None
+    external: list | None = None  # (file, offset, size)
+    mappings: list | None = None  # (file, dataset, source selection, own selection)
+
+
+def selection_bytes(s: Selection | list, shape: Shape) -> bytes:
+    """A stored selection; a list is of blocks (inclusive corners)."""
+    if isinstance(s, list):
+        rank = len(s[0][0])
+        return u(2, 4) + u(1, 4) + bytes(8) + u(rank, 4) + u(len(s), 4) + b"".join(u(x, 4) for lo, hi in s for x in (*lo, *hi))
+    if isinstance(s, (Nothing, Everything)):
+        return u(0 if isinstance(s, Nothing) else 3, 4) + u(1, 4) + bytes(8)
+    if isinstance(s, Points):
+        return u(1, 4) + u(1, 4) + bytes(8) + u(shape.rank, 4) + u(len(s.coords), 4) + b"".join(u(x, 4) for c in s.coords for x in c)
+    if isinstance(s, Slices):
+        s = s.hyperslab(shape)
+    if not isinstance(s, Hyperslab):
+        raise UnsupportedError("cannot store this selection")
+    return u(2, 4) + u(2, 4) + b"\x01" + bytes(4) + u(len(s.spans), 4) + b"".join(u(x.start, 8) + u(x.stride, 8) + (NONE if x.count is None else u(x.count, 8)) + u(x.block, 8) for x in s.spans)
 
 
 class ContainerWriter:
@@ -206,6 +224,14 @@ class ContainerWriter:
             raise FormatError("compact data have no chunks")
         self._add(path, _Data(values, kind, shape, tuple(chunk) if chunk else None, tuple(filters), fill, compact, set(map(tuple, only)) if only is not None else None))
 
+    def external_dataset(self, path: str, kind, dims: Sequence[int], pieces: Sequence[tuple[str, int, int]]) -> None:
+        """A dataset whose bytes are in other files: (name, offset, size), joined in order."""
+        self._add(path, _Data(None, np.dtype(kind), Shape(tuple(dims)), None, (), None, False, None, external=list(pieces)))
+
+    def virtual_dataset(self, path: str, kind, dims: Sequence[int], mappings: Sequence[tuple[str, str, object, object]], fill=None, max_dims=None) -> None:
+        """A dataset made of others: (file, dataset, source selection, own selection)."""
+        self._add(path, _Data(None, np.dtype(kind), Shape(tuple(dims), tuple(max_dims) if max_dims is not None else None), None, (), fill, False, None, mappings=list(mappings)))
+
     # headers
 
     def _header(self, messages: list[tuple[int, bytes]]) -> int:
@@ -379,7 +405,25 @@ class ContainerWriter:
         if d.fill is not None:
             fill = self._encode(d.kind, np.asarray(d.fill))
         messages = [(DATASPACE, shape_bytes(d.shape)), (DATATYPE, type_bytes(d.kind)), (FILL, bytes([3, 2 | 2 << 2 | (0x20 if fill else 0)]) + (u(len(fill), 4) + fill if fill else b""))]
-        if d.chunk:
+        if d.external is not None:
+            names = bytes(8)
+            slots = b""
+            for name, at, n in d.external:
+                slots += u(len(names), 8) + u(at, 8) + u(n, 8)
+                names += name.encode() + b"\0"
+                names += bytes(-len(names) % 8)
+            heap = self.alloc(b"HEAP" + bytes(4) + u(len(names), 8) + u(1, 8) + u(self.alloc(names), 8))
+            messages.append((EXTERNAL, bytes([1, 0, 0, 0]) + u(len(d.external), 2) * 2 + u(heap, 8) + slots))
+            messages.append((LAYOUT, bytes([3, 1]) + NONE + u(d.shape.size * size, 8)))
+        elif d.mappings is not None:
+            body = bytes(1) + u(len(d.mappings), 8)
+            for file, name, src, dst in d.mappings:
+                body += file.encode() + b"\0" + name.encode() + b"\0" + selection_bytes(src, d.shape) + selection_bytes(dst, d.shape)
+            body += u(codecs.lookup3(body), 4)
+            heap = 16 + 16 + len(body) + -len(body) % 8 + 16
+            at = self.alloc(b"GCOL" + u(1, 1) + bytes(3) + u(heap, 8) + u(1, 2) + u(1, 2) + bytes(4) + u(len(body), 8) + body + bytes(-len(body) % 8) + bytes(16))
+            messages.append((LAYOUT, bytes([4, 3]) + u(at, 8) + u(1, 4)))
+        elif d.chunk:
             if d.filters:
                 messages.append((FILTERS, self._filters(d, size)))
             messages.append((LAYOUT, self._chunked(d, size, fill)))

@@ -8,13 +8,18 @@ the coordinates prune stored pieces before any is read.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import product
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..array import ArrayFrame
 from ..errors import FormatError
+from ..operators.virtual import Mapping, VirtualArray, block_mappings, expand_name, extent, irregular, resolve_source
+from ..plans.selection import Hyperslab, Nothing, Span
+from ..shape import Shape
 from .container import Container, Dataset, Piece
 
 NAME = "tesserae_container"
@@ -102,7 +107,7 @@ class ElementReader(DataSourceReader):
         if not d.shape.size:
             return []
         kind = d.layout["kind"]
-        if kind == "compact":
+        if kind == "compact" or d.external_pieces():
             return [Part([None], [])]
         chunk = d.layout["chunk"] if kind == "chunked" else d.shape.dims
         pieces = [p for p in d.pieces() if self._wanted(p.start, chunk)]
@@ -139,3 +144,62 @@ def register(spark: SparkSession) -> None:
     """Makes the source known to a session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ContainerSource)
+
+
+def array(spark: SparkSession, path: str, name: str) -> ArrayFrame:
+    """A stored dataset as an array."""
+    d = Container(path).dataset(name)
+    df = spark.read.format(NAME).options(path=path, dataset=name, fill="false").load()
+    chunk = d.layout.get("chunk")
+    return ArrayFrame(df, d.shape, tuple(field_names(d)), tuple(chunk) if chunk else None, d.fill_value())
+
+
+def virtual_array(spark: SparkSession, path: str, name: str, view: str = "last_available", missing: str = "error", prefix: str | None = None) -> VirtualArray:
+    """A virtual dataset over the files it names.
+
+    Names with ``%b`` stand for numbered blocks along the unlimited axis; the extent of that axis
+    follows from the sources, to the last available block or before the first missing one.
+    """
+    d = Container(path).dataset(name)
+    folder = path.rsplit("/", 1)[0] if "/" in path else "."
+    find = lambda n: resolve_source(n, here=path, exists=os.path.exists, prefix=prefix, env_prefix=os.environ.get("TESSERAE_VDS_PREFIX"))
+    found: list[Mapping] = []
+    ends: list[int] = []
+    grow = next((i for i, m in enumerate(d.shape.largest) if m is None), None)
+    for file, inner, src, dst in d.mappings():
+        if "%" in file:
+            base = f"{folder}/{file}".rsplit("/", 1)[0]
+            names = sorted(os.listdir(base)) if os.path.isdir(base) else []
+            blocks = [(b, array(spark, f"{base}/{n}", inner)) for b, n in expand_name(file.rsplit("/", 1)[-1], names)]
+            new = block_mappings(blocks, src, dst, view)
+        else:
+            at = find(file)
+            source = array(spark, at, inner) if at else None
+            if isinstance(src, list) or isinstance(dst, list):
+                blocks = src if isinstance(src, list) else [b for b in src.blocks(source.shape)]
+                places = dst if isinstance(dst, list) else [b for b in dst.blocks(d.shape)]
+                new = irregular(source, blocks, places) if source else [Mapping(None, Nothing(), Nothing())]
+            else:
+                if source is not None and isinstance(dst, Hyperslab) and any(s.count is None for s in dst.spans):
+                    src, dst = _bounded(src, dst, source.shape)
+                new = [Mapping(source, src, dst)]
+        if grow is not None:
+            # numbered blocks count as one mapping that reaches to its last block
+            own = [m.dst.spans[grow].last + 1 for m in new if m.source is not None and isinstance(m.dst, Hyperslab) and m.dst.spans[grow].count]
+            ends.append(max(own, default=0))
+        found += new
+    dims = d.shape.dims
+    if ends:
+        dims = tuple(extent(ends, view) if i == grow else n for i, n in enumerate(dims))
+    return VirtualArray(Shape(dims), tuple(found), d.fill_value(), missing)
+
+
+def _bounded(src, dst: Hyperslab, shape: Shape) -> tuple[Hyperslab, Hyperslab]:
+    """Both sides of an unlimited mapping cut to what the source has."""
+    if not isinstance(src, Hyperslab):
+        src = Hyperslab(*[Span(0, 1, None, 1) if t.count is None else Span(0, max(1, n), 1, n) for n, t in zip(shape.dims, dst.spans)])
+    have = src.bounded(shape)
+    out = []
+    for s, t in zip(have.spans, dst.spans):
+        out.append(Span(t.start, t.stride, max(0, s.size // max(1, t.block)), t.block) if t.count is None else t)
+    return have, Hyperslab(*out)

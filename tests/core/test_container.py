@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tesserae.errors import FormatError, UnsupportedError
+from tesserae.plans.selection import Everything, Hyperslab, Points, Slices, Span
 from tesserae.sources import codecs, datasource
 from tesserae.sources.container import Container
 from tesserae.sources.container_writer import ContainerWriter, Enum, Sequence_, VString
@@ -190,3 +191,50 @@ def test_data_source(spark, tmp_path):
     assert read(dataset="/tiny").count() == 2 and read(dataset="/scalar").first().value == 2.25
     tree = {r.path: r for r in read().collect()}
     assert tree["/g/zip"].filters == "shuffle,deflate,fletcher32" and tree["/g/zip"].shape == "[16401]" and tree["/alias"].link == "soft"
+
+
+def test_raw_data_in_other_files(spark, tmp_path):
+    path = str(tmp_path / "f")
+    (tmp_path / "raw").write_bytes(b"xx" + np.array([1, 2], "<i4").tobytes())
+    (tmp_path / "more").write_bytes(np.array([3, 4, 9], "<i4").tobytes())
+    with ContainerWriter(path) as w:
+        w.external_dataset("/e", "<i4", (4,), [("raw", 2, 8), ("more", 0, 12)])
+        w.external_dataset("/short", "<i4", (9,), [("raw", 2, 8)])
+    datasource.register(spark)
+    assert Container(path).dataset("/e").numpy_order() == [1, 2, 3, 4]
+    assert [r.value for r in spark.read.format("tesserae_container").options(path=path, dataset="/e").load().orderBy("d0").collect()] == [1, 2, 3, 4]
+    with pytest.raises(FormatError):
+        Container(path).dataset("/short").numpy_order()
+
+
+def test_virtual_datasets_in_files(spark, tmp_path):
+    x = np.arange(16, dtype="<f8").reshape(4, 4)
+    with ContainerWriter(str(tmp_path / "src")) as w:
+        w.dataset("/A", x)
+        w.dataset("/row", np.array([1.0, 2, 3, 4]))
+        w.dataset("/two", np.array([9.0, 8]))
+    for b in (0, 1, 3):
+        with ContainerWriter(str(tmp_path / f"part-{b}")) as w:
+            w.dataset("/A", np.full((2, 3), float(b)))
+    path = str(tmp_path / "v")
+    blocks = [((0, 1), (0, 2)), ((2, 0), (2, 1))]
+    grow = Hyperslab(Span(0, 2, None, 2), Span(0, 3, 1, 3))
+    with ContainerWriter(path) as w:
+        w.virtual_dataset("/overlap", "<f8", (4,), [("src", "/row", Everything(), Everything()), ("src", "/two", Everything(), Slices((1, 3)))], fill=0.0)
+        w.virtual_dataset("/blocks", "<f8", (4, 4), [("src", "/A", blocks, blocks)], fill=-2.0)
+        w.virtual_dataset("/points", "<f8", (4, 4), [("src", "/A", Points([(2, 1)]), Points([(0, 3)]))], fill=-2.0)
+        w.virtual_dataset("/numbered", "<f8", (0, 3), [("part-%b", "/A", Everything(), grow)], fill=-1.0, max_dims=(None, 3))
+        w.virtual_dataset("/lost", "<f8", (4,), [("nowhere", "/row", Everything(), Everything())], fill=-3.0)
+    datasource.register(spark)
+    get = lambda n, **k: datasource.virtual_array(spark, path, n, **k).read().numpy().tolist()
+    assert get("/overlap") == [1, 9, 8, 4]
+    want = np.full((4, 4), -2.0)
+    want[0, 1:3], want[2, 0:2] = [1, 2], [8, 9]
+    assert get("/blocks") == want.tolist()
+    want[:] = -2
+    want[0, 3] = 9
+    assert get("/points") == want.tolist()
+    rows = lambda *b: [[float(k)] * 3 for k in b for _ in range(2)]
+    assert get("/numbered") == rows(0, 1, -1, 3) and get("/numbered", view="first_missing") == rows(0, 1)
+    with pytest.raises(FormatError):
+        get("/lost")
