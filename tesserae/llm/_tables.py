@@ -8,9 +8,10 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,3 +67,10 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def over_rows(docs: DataFrame, run: Callable[[Iterator], Iterator], *added: T.StructField) -> DataFrame:
+    """``docs`` through an Arrow function that keeps all columns in place and appends ``added``; odd column names survive."""
+    names = docs.columns
+    plain = docs.toDF(*[f"__column_{i}" if "." in n or "`" in n else n for i, n in enumerate(names)])
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *added])).toDF(*names, *(a.name for a in added))

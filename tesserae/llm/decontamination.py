@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import over_rows
 from ._text import U64, Words, grams, letter_words, mix, pieces, utf8
 
 
@@ -277,7 +278,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> Data
                     bad[[r[0] for r in _search(b, items)]] = True
                     yield b.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = over_rows(docs, run)
     return docs
 
 

@@ -95,11 +95,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all their columns and ``size, source_size, target, copies, taken``.  Equal rows without a doc_id share their largest number of copies."""
-    keyed = docs.withColumn("mix_key", F.xxhash64("text"))
-    plan = mix(keyed, carry=["mix_key"], **options)
-    plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("mix_key").alias("m_key")).agg(
-        *(F.max(c).alias(c) for c in ("size", "source_size", "target", "copies", "taken"))
-    ).where("copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("mix_key") == F.col("m_key"))
-    return keyed.join(plan.hint("shuffle_hash"), same).select(*[keyed[c] for c in docs.columns], "size", "source_size", "target", "copies", "taken")
+    """The rows of ``docs`` that the mix takes, with all their columns and ``size, source_size, target, copies, taken``.
+
+    Columns of those names in the input are replaced.  Equal rows share their largest number of copies.
+    """
+    new = ("size", "source_size", "target", "copies", "taken")
+    key = F.xxhash64("text")
+    plan = mix(docs.select("doc_id", "source", "text", key.alias("mix_key")), carry=["mix_key"], **options)
+    plan = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("mix_key").alias("__mix_key")).agg(*(F.max(c).alias(f"__mix_{c}") for c in new)).where("__mix_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (key == F.col("__mix_key"))
+    old = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    return docs.join(plan.hint("shuffle_hash"), same).select(*old, *(F.col(f"__mix_{c}").alias(c) for c in new))

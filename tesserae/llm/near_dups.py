@@ -279,12 +279,12 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one document of each component stays.  Repeated rows become one; null doc_ids stay."""
-    kept = near_duplicates(docs, o).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    key = [F.col("doc_id").alias("r_id"), F.xxhash64("text").alias("r_hash")]
-    repeated = Workspace(docs.sparkSession, "near").put(named.select(*key).groupBy("r_id", "r_hash").count().where("count > 1").select("r_id", "r_hash"), "repeated")
-    out = named.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = near_duplicates(docs, o).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named, key = docs.where("doc_id IS NOT NULL"), F.xxhash64("text")
+    repeated = named.select(F.col("doc_id").alias("__again_id"), key.alias("__again_hash")).groupBy("__again_id", "__again_hash").count().where("count > 1").select("__again_id", "__again_hash")
+    repeated = Workspace(docs.sparkSession, "near").put(repeated, "repeated")
+    out = named.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__kept_id"), "left_semi")
     if repeated.limit(1).count():
-        same = (F.col("doc_id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_hash"))
+        same = (F.col("doc_id") == F.col("__again_id")) & (key == F.col("__again_hash"))
         out = out.join(repeated, same, "left_anti").unionAll(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out.unionAll(docs.where("doc_id IS NULL"))

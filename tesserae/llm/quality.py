@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ._tables import over_rows
 from ._text import U64, Words, mix, pieces, space_words, utf8
 from .labelled import fold_labels, remainder, sample
 
@@ -307,7 +309,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
     through one by one, so repeated rows, nulls elsewhere and further columns do no harm (a column
     quality_score of the input is replaced); an empty table gives no rows.
     """
-    docs = docs.select(*[docs[c] for c in docs.columns if c != "quality_score"])
+    docs = docs.drop("quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -315,8 +317,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
                 s = model.score(Lines(*utf8(b.column("text"))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "quality_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, quality_score double")
+    return over_rows(docs, run, T.StructField("quality_score", T.DoubleType()))
 
 
 def held_out(options: Options = Options()):

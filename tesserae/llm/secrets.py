@@ -18,7 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from ._tables import over_rows
 from ._text import pieces
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -90,7 +92,7 @@ def find(text: str | None, novelty: Novelty) -> list[tuple[int, int, int, float]
     return sorted(spans)
 
 
-SPANS = "array<struct<kind:string,start:bigint,end:bigint,novelty:double>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("novelty", T.DoubleType())]))
 
 
 def scan(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -99,8 +101,7 @@ def scan(docs: DataFrame, options: Options = Options()) -> DataFrame:
     Row by row, so rows, repeated rows, nulls in other columns and clashing names pass through (a
     column ``secret_spans`` of the input is replaced); a null text is empty; an empty table gives none.
     """
-    names = [c for c in docs.columns if c != "secret_spans"]
-    docs = docs.select(*[docs[c] for c in names])
+    docs = docs.drop("secret_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(options)
@@ -114,8 +115,7 @@ def scan(docs: DataFrame, options: Options = Options()) -> DataFrame:
                     spans[i] = [{"kind": KINDS[k], "start": s, "end": e, "novelty": float(c)} for s, e, k, c in find(texts[int(i)].as_py(), novelty)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, "secret_spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, secret_spans {SPANS}")
+    return over_rows(docs, run, T.StructField("secret_spans", SPANS))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "<SECRET>") -> str:
@@ -154,4 +154,4 @@ def redacted(docs: DataFrame, options: Options = Options(), mark: str = "<SECRET
                     b = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                 yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_rows(docs, run)

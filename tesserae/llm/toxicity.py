@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ._tables import over_rows
 from ._text import U64, Words, _powers, _values, letter_words, mix, pieces, utf8
 from .labelled import fold_labels, remainder, sample
 from .quality import logistic
@@ -269,7 +271,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     elsewhere and further columns do no harm (columns toxicity and evidence are replaced); an empty
     table gives no rows.
     """
-    docs = docs.select(*[docs[c] for c in docs.columns if c not in ("toxicity", "evidence")])
+    docs = docs.drop("toxicity", "evidence")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -283,8 +285,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                     near[i] = index.ids[rows[:3]].tolist()
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.score(z), pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[*b.schema.names, "toxicity", "evidence"])
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, toxicity double, evidence array<bigint>")
+    return over_rows(docs, run, T.StructField("toxicity", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())))
 
 
 def held_out(o: Options = Options()):

@@ -85,3 +85,27 @@ def test_stages(spark, tiny):
     want = plain_targets(sizes)
     for s in sizes:
         assert abs(sum(x.taken for x in after.values() if x.source == s) - want[s]) <= max(len(x.text.split()) for x in before.values() if x.source == s)
+
+
+def test_clashing_columns(spark, tiny):
+    """Columns named like the operators' own neither crash a stage nor get lost."""
+    from pyspark.sql import functions as F
+
+    from tesserae.llm import decontamination, near_dups, secrets, toxicity
+
+    names = ["n", "h", "label", "rep", "class", "kept_id", "gram", "pos", "y", "a.b", "start", "word"]
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(40)
+    for n in names:
+        docs = docs.withColumn(n, F.lit("x"))
+    docs = docs.withColumns({c: F.lit("old") for c in ("size", "copies", "quality_score", "secret_spans", "toxicity", "evidence")})
+    labels, bench = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("labels", "benchmark"))
+    for out in (
+        quality.score(docs, quality.fit(docs, labels)), toxicity.score(docs, toxicity.fit(docs, labels)), secrets.scan(docs), secrets.redacted(docs),
+        decontamination.clean(docs, bench), near_dups.one_of_each(docs), mixing.mixed(docs),
+    ):
+        rows = out.collect()
+        assert rows and set(names) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+        assert all(r["a.b"] == "x" for r in rows)
+    from tesserae.llm import licenses, repeats
+
+    assert licenses.summarize(docs, licenses.scan(docs)).count() == repeats.remove_repeats(docs).count() == mixing.mix(docs).count() == near_dups.near_duplicates(docs).count() == 40
