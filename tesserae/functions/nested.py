@@ -91,3 +91,35 @@ def map_entries_from(m: Column, first: int = 0) -> Column:
     """Entries in key order from the given place: an iteration that can be resumed."""
     entries = F.array_sort(F.map_entries(m))
     return F.slice(entries, first + 1, F.greatest(F.size(entries) - first, F.lit(0)))
+
+
+def _mask(size: int) -> Column:
+    return F.lit((1 << size) - 1 if size < 64 else -1)
+
+
+def bit_copy(to: Column, to_offset: int, source: Column, offset: int, size: int) -> Column:
+    """``to`` with ``size`` bits from bit ``to_offset`` replaced by those of ``source`` from bit ``offset``."""
+    bits = F.shiftleft(bit_field(source, offset, size), to_offset)
+    return set_bits(to, to_offset, size, False).bitwiseOR(bits)
+
+
+def bit_shift(c: Column, by: int, offset: int, size: int) -> Column:
+    """The field of ``size`` bits from bit ``offset`` shifted left (or right, if negative); what leaves the field is lost."""
+    field = bit_field(c, offset, size)
+    moved = F.shiftleft(field, by) if by >= 0 else F.shiftrightunsigned(field, -by)
+    return bit_copy(c, offset, moved.bitwiseAND(_mask(size)), 0, size)
+
+
+def bit_add(c: Column, n: int, offset: int, size: int) -> Column:
+    """The field plus n, wrapping around: increment with 1, decrement with -1."""
+    return bit_copy(c, offset, (bit_field(c, offset, size) + n).bitwiseAND(_mask(size)), 0, size)
+
+
+def bit_negate(c: Column, offset: int, size: int) -> Column:
+    """The field as its two's complement."""
+    return bit_copy(c, offset, (-bit_field(c, offset, size)).bitwiseAND(_mask(size)), 0, size)
+
+
+def bytes_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as byte strings compare."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .array import ArrayFrame, VectorRows, from_records
 from .functions import nested, scale_offset, text, transform
+from .functions import records as records_
 from .functions.convert import saturating, saturating_array
 from .operators import chunks, mutation, namespace, selections, virtual
 from .plans.selection import Combined, Everything, Hyperslab, Nothing, Points, Selection, Slices, Span, coordinates, from_index
@@ -452,6 +453,13 @@ def prj_nested(spark, sf_dir):
     return p.select("d0", "rec.inner.size", "rec.inner.price", F.element_at("rec.letters", 1).alias("initial"))
 
 
+@query("prj_02_raw_field", "SELECT p_partkey AS d0, lower(to_hex(p_size)) AS raw FROM part")
+def prj_raw(spark, sf_dir):
+    """A field as it is stored, after a strict check of its type."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("d0"), F.struct("p_size", "p_retailprice").alias("rec"))
+    return p.select("d0", F.lower(F.hex(records_.read_field(p, "rec.p_size", "int"))).alias("raw"))
+
+
 @query("prj_04_fields", "SELECT column_name AS name, (row_number() OVER () - 1)::BIGINT AS at FROM (DESCRIBE orders)")
 def prj_fields(spark, sf_dir):
     return spark.createDataFrame([(f.name, i) for i, f in enumerate(table(spark, sf_dir, "orders").schema.fields)], "name string, at bigint")
@@ -552,6 +560,14 @@ def bit_find(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("d0"), nested.find_bit(k, 8, True).alias("low"), nested.find_bit(k, 8, True, from_low=False).alias("high"))
 
 
+@query("bit_arithmetic", "SELECT o_orderkey AS d0, (o_orderkey & ~240) | (((((o_orderkey >> 4) & 15) + 1) & 15) << 4) AS incremented, (o_orderkey & ~240) | ((-((o_orderkey >> 4) & 15) & 15) << 4) AS negated, (o_orderkey & ~240) | (((((o_orderkey >> 4) & 15) << 2) & 15) << 4) AS shifted, (5 & ~12) | (((o_orderkey >> 6) & 3) << 2) AS copied FROM orders")
+def bit_arithmetic(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("d0"), nested.bit_add(k, 1, 4, 4).alias("incremented"), nested.bit_negate(k, 4, 4).alias("negated"), nested.bit_shift(k, 2, 4, 4).alias("shifted"), nested.bit_copy(F.lit(5), 2, k, 6, 2).alias("copied")
+    )
+
+
 @query("arr_flatten", "SELECT vec_id AS d0, (i - 1)::BIGINT AS at, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i)")
 def arr_flatten(spark, sf_dir):
     a = nested.flattened(nested.reshaped(F.col("embedding"), (4, 4, 4)), 3)

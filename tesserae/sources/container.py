@@ -581,6 +581,14 @@ class Container:
             at, here = space.root, []
         return space, at
 
+    def info(self) -> dict:
+        """What the superblock and the tree say about the file."""
+        kinds = [k for _, _, k, _ in self.walk()]
+        return {
+            "path": self.path, "bytes": self.bytes.size, "userblock": self.userblock, "version": self.version, "end": self.end, "free": max(0, self.bytes.size - self.end),
+            "offset_size": self.offsets, "length_size": self.lengths, "groups": 1 + kinds.count("group"), "datasets": kinds.count("dataset"), "datatypes": kinds.count("datatype"),
+        }
+
     def kind(self, at: int) -> str:
         kinds = {k for k, _, _ in self.header(at).messages}
         if DATASPACE in kinds and DATATYPE in kinds:
@@ -933,6 +941,17 @@ class Dataset:
             out.append((names[name : names.index(b"\0", name)].decode(), at, size))
         return out
 
+    def describe(self) -> dict:
+        """Shape, type, storage, filters, fill value and allocation."""
+        kind = self.layout["kind"]
+        pieces = self.pieces() if kind in ("chunked", "contiguous") and not self.external_pieces() else []
+        expected = prod(self._grid()) if kind == "chunked" else 1
+        status = "allocated" if kind in ("compact", "virtual") or self.external_pieces() or len(pieces) >= expected else "part allocated" if pieces else "not allocated"
+        return {
+            "dims": self.shape.dims, "max_dims": self.shape.max_dims, "type": self.type.spark(), "element_size": self.type.size, "layout": kind, "index": self.layout.get("index"),
+            "chunk": self.layout.get("chunk"), "filters": [n for n, _ in self.filters], "fill": self.fill_value(), "chunks": len(pieces), "expected": expected, "stored_bytes": sum(p.size for p in pieces), "status": status,
+        }
+
     def external_bytes(self) -> bytes:
         """Raw data kept outside, joined in order; too few bytes are an error."""
         folder = self.file.path.rsplit("/", 1)[0] if "/" in self.file.path else "."

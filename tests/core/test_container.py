@@ -113,6 +113,20 @@ def test_dense_groups(tmp_path):
     assert c.attributes("/few") == {f"a{k}": [k, k + 100] for k in range(40)}
 
 
+def test_descriptions(tmp_path):
+    path = str(tmp_path / "f")
+    with ContainerWriter(path, userblock=512) as w:
+        fill(w)
+    c = Container(path)
+    info = c.info()
+    assert (info["userblock"], info["groups"], info["version"], info["bytes"], info["free"]) == (512, 2, 2, os.path.getsize(path), 0)
+    of = lambda p: c.dataset(p).describe()
+    assert [of(p)["status"] for p in ("/sparse", "/never", "/flat", "/tiny")] == ["part allocated", "not allocated", "allocated", "allocated"]
+    d = of("/g/zip")
+    assert (d["dims"], d["chunk"], d["filters"], d["chunks"], d["expected"]) == ((16401,), (2048,), ["shuffle", "deflate", "fletcher32"], 9, 9)
+    assert of("/sparse")["fill"] == -7
+
+
 def test_links_between_files_and_circles(tmp_path):
     with ContainerWriter(str(tmp_path / "a")) as w:
         w.external("/far", "b", "/d")

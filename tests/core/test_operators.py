@@ -1,5 +1,7 @@
 """Conversion, transforms, strings, codecs, virtual arrays, chunks, namespace, store and streams on golden values."""
 
+import dataclasses
+import enum
 import math
 import os
 import random
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.array import ArrayFrame
 from tesserae.errors import FormatError, SelectionError, UnsupportedError
-from tesserae.functions import nested, text, transform
+from tesserae.functions import nested, records, text, transform
 from tesserae.functions.convert import saturating
 from tesserae.operators import chunks, mutation, namespace, virtual
 from tesserae.plans.selection import Everything, Hyperslab, Points, Slices, Span
@@ -314,3 +316,44 @@ def test_growth_streams(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").groupBy("start").agg(F.max("total").alias("t")).agg(F.sum("t")).first()[0] == 30.0
+
+
+class Level(enum.Enum):
+    LOW = 1
+
+
+@dataclasses.dataclass
+class Inner:
+    a: int
+    b: float
+
+
+@dataclasses.dataclass
+class Record:
+    inner: Inner
+    tags: list[str]
+    level: Level
+    small: int = dataclasses.field(default=0, metadata={"type": "u16", "rename": "n"})
+
+
+def test_records(spark):
+    t = records.struct_of(Record)
+    assert t.simpleString() == "struct<inner:struct<a:bigint,b:double>,tags:array<string>,level:bigint,n:int>"
+    assert records.member_index(t, "n") == 3
+    df = spark.createDataFrame([((1, 2.5), ["x"], 1, 7)], t)
+    assert df.select(records.read_field(df, "inner.b", "double")).first()[0] == 2.5
+    for path, kind in (("inner.b", "float"), ("inner.c", "double"), ("n.x", "int")):
+        with pytest.raises(FormatError):
+            records.read_field(df, path, kind)
+    with pytest.raises(UnsupportedError):
+        records.struct_of(int)
+
+
+def test_bits(spark):
+    get = lambda c: spark.range(1).select(c).first()[0]
+    assert get(nested.bit_add(F.lit(0b1111_0101), 1, 4, 4)) == 0b0000_0101
+    assert get(nested.bit_add(F.lit(0), -1, 0, 8)) == 255
+    assert get(nested.bit_negate(F.lit(0b0011), 0, 4)) == 0b1101
+    assert get(nested.bit_shift(F.lit(0b1011_0001), -2, 4, 4)) == 0b0010_0001
+    assert get(nested.bit_copy(F.lit(0), 4, F.lit(0b110), 1, 2)) == 0b11_0000
+    assert [get(nested.bytes_compare(F.lit(a), F.lit(b))) for a, b in ((b"a", b"b"), (b"b", b"b"), (b"\xff", b"b"))] == [-1, 0, 1]
