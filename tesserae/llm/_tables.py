@@ -58,7 +58,7 @@ class Workspace:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While jobs run inside, Arrow batches to Python hold few rows, so long texts do not pile up in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -69,8 +69,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+BATCH_ROWS = 2000
+
+
+def lean(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold few rows: whole texts are long, and a batch is held several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def over_rows(docs: DataFrame, run: Callable[[Iterator], Iterator], *added: T.StructField) -> DataFrame:
     """``docs`` through an Arrow function that keeps all columns in place and appends ``added``; odd column names survive."""
+    lean(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*[f"__column_{i}" if "." in n or "`" in n else n for i, n in enumerate(names)])
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *added])).toDF(*names, *(a.name for a in added))

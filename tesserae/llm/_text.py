@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _state: dict[str, np.ndarray] = {}
 
@@ -83,7 +83,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, name: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into row ranges of about ``limit`` text bytes, so that memory does not follow the batch."""
     if not batch.num_rows:
         return

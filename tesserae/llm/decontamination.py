@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import over_rows
+from ._tables import lean, over_rows
 from ._text import U64, Words, grams, letter_words, mix, pieces, utf8
 
 
@@ -251,6 +251,7 @@ def find(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataF
     kept; columns besides doc_id, item_id and text are not read; an empty table on either side gives
     no rows.  Very long texts are searched as a whole.
     """
+    lean(docs.sparkSession)
     out: DataFrame | None = None
     for items in _passes(benchmark, o):
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import Workspace
+from ._tables import Workspace, lean
 from ._text import Words, pieces, space_words, utf8
 
 BUCKET_DIGITS = 3  # hex digits of the hash: 4,096 buckets per source
@@ -73,6 +73,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     their own; columns besides doc_id, text and source are not read; an empty table gives no rows.
     Ties in the hash are broken by doc_id and size, so reruns agree.
     """
+    lean(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "mix")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
     sizes = ws.put(document_sizes(docs, carry).withColumn("h", digest), "sizes")

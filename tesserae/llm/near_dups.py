@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import Workspace, small_batches
+from ._tables import Workspace, lean, small_batches
 from ._text import U64, Words, grams, mix, pieces, space_words, utf8
 from .components import components
 
@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
     besides doc_id and text are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    lean(spark)
     ws = Workspace(spark, "near")
     with small_batches(spark):
         prints = ws.put(fingerprints(docs, o), "prints")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import over_rows
+from ._tables import lean, over_rows
 from ._text import U64, Words, mix, pieces, space_words, utf8
 from .labelled import fold_labels, remainder, sample
 
@@ -287,6 +287,7 @@ def line_features(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Crf:
     """Fits on a bounded sample of the labelled rows outside the held-out fold; only that sample reaches the driver."""
+    lean(docs.sparkSession)
     rows = fold_labels(labels, "quality", options.folds, options.held)
     shares = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     total = max(1, sum(shares.values()))

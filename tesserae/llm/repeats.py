@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import Workspace, small_batches
+from ._tables import Workspace, lean, small_batches
 from ._text import U64, _powers, _values, mix, pieces, utf8
 from .suffix_sort import lcp, sort
 
@@ -264,6 +264,7 @@ def remove_repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
     text are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    lean(spark)
     ws = Workspace(spark, "repeats")
     docs = docs.select("doc_id", F.hash("text").alias("t_hash"), "text")
     with small_batches(spark):

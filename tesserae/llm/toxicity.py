@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import over_rows
+from ._tables import lean, over_rows
 from ._text import U64, Words, _powers, _values, letter_words, mix, pieces, utf8
 from .labelled import fold_labels, remainder, sample
 from .quality import logistic
@@ -203,6 +203,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, o: Options) ->
 
 def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Index:
     """Fits on a bounded sample of the labelled rows outside the held-out fold.  To the driver come that sample's vectors and the counts of a bounded vocabulary."""
+    lean(docs.sparkSession)
     rows = fold_labels(labels, "toxic", o.folds, o.held)
     shares = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     total = sum(shares.values())
