@@ -117,16 +117,17 @@ def _unpack(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"pos": pos, "lo": pos - F.shiftright("place", BITS).bitwiseAND(F.lit(side)), "hi": pos + F.col("place").bitwiseAND(F.lit(side))}).drop("place")
 
 
-def repeated(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int, int, int]]:
+def repeated(left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
     """(member, l, r): the strings from l bytes before a member's gram to r bytes after it that another member has too, with l + r >= length.
 
     ``left`` are reversed left contexts, ``right`` begin after the gram that all share.
     """
     m = len(left)
-    out: list[tuple[int, int, int]] = []
     if m == 2:
         l, r = lcp(left[0], left[1]), lcp(right[0], right[1])
-        return [(0, l, r), (1, l, r)] if l + r >= length else []
+        if l + r >= length:
+            yield from ((0, l, r), (1, l, r))
+        return
     order, common = sort(right)
     by_left, _ = sort(left)
     rank = [0] * m
@@ -153,7 +154,7 @@ def repeated(left: list[bytes], right: list[bytes], length: int) -> list[tuple[i
                 i, j = by_left[v], by_left[u]
                 l = lcp(left[i], left[j])
                 if l + r >= length:
-                    out += [(i, l, r), (j, l, r)]
+                    yield from ((i, l, r), (j, l, r))
         if len(x) < 16:
             for v in x:
                 insort(y, v)
@@ -161,7 +162,6 @@ def repeated(left: list[bytes], right: list[bytes], length: int) -> list[tuple[i
             sets[b] = sorted(x + y)  # two runs: one merge
         sets[a] = None
         head[a] = b
-    return out
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, o: Options) -> DataFrame:
@@ -196,13 +196,13 @@ def _resolve(rows: DataFrame, o: Options) -> DataFrame:
             out = []
             if len(group) > 1:
                 hits = repeated([g[4] for g in group], [g[5] for g in group], o.length - o.gram)
-                best: dict[int, list[tuple[int, int]]] = {}
+                best: dict[int, set[tuple[int, int]]] = {}
                 for i, l, r in hits:
                     if group[i][3]:
-                        best.setdefault(i, []).append((l, r))
+                        best.setdefault(i, set()).add((l, r))
                 for i, spans in best.items():
                     d, t, p = group[i][:3]
-                    out += [(d, t, p - l, p + o.gram + r) for l, r in set(spans)]
+                    out += [(d, t, p - l, p + o.gram + r) for l, r in spans]
             return out
 
         for b in batches:
