@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import Workspace, lean, small_batches
-from ._text import U64, _powers, _values, mix, pieces, utf8
+from ._text import PIECE, U64, _powers, _values, mix, pieces, utf8
 from .suffix_sort import lcp, sort
 
-SEGMENT = 1 << 19
 BITS = 14  # of a context's length on one side; leaves 35 bits for the position
+SEGMENT = PIECE - 3 * (1 << BITS)  # with the contexts around it a segment stays within the power tables
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ import random
 import numpy as np
 from helpers import prose, rows, vocabulary
 
+from tesserae.llm import repeats
+from tesserae.llm._text import PIECE
 from tesserae.llm.repeats import Options, anchors, remove_repeats, repeated
 from tesserae.llm.suffix_sort import sort
 
@@ -107,3 +109,27 @@ def test_bad_rows(spark):
     got = sorted((x.n_bytes, x.n_removed) for x in remove_repeats(df).collect())
     assert got == [(0, 0), (20, 0), (900, 900)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_segments_do_not_change_anchors(monkeypatch):
+    r, o = random.Random(8), Options(length=60, gram=16)
+    b = np.frombuffer((prose(vocabulary(), 3000, r) + "ab" * 700 + prose(vocabulary(), 300, r)).encode(), np.uint8)
+    whole = anchors(b, o)
+    for segment in (100, 997, 4096, len(b) - o.length):
+        monkeypatch.setattr(repeats, "SEGMENT", segment)
+        assert all((x == y).all() for x, y in zip(anchors(b, o), whole, strict=True))
+
+
+def test_long_texts(spark):
+    r, o, words = random.Random(9), Options(), vocabulary()
+    passage = [prose(words, 400, r)[:n] for n in (450, 700, 1500)]
+    long = bytearray(prose(words, 3 * repeats.SEGMENT // 5, r).encode()[: 3 * repeats.SEGMENT + 5000])
+    for k, p in enumerate(passage):
+        # across the end of a segment
+        at = (k + 1) * repeats.SEGMENT - len(p) // 2
+        long[at : at + len(p)] = p.encode()
+    assert len(long) > 3 * repeats.SEGMENT
+    middle = prose(words, 50_000, r)[: PIECE + 500]
+    texts = [long.decode(), middle + passage[0] + passage[1], prose(words, 90, r) + passage[2], "é" * 10]
+    assert all(len(t.encode()) > PIECE + 1 for t in texts[:2])
+    check(spark, texts, o)
