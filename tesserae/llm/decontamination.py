@@ -7,8 +7,11 @@ deletions and substitutions of it.
 Candidates come from the CGK embedding: a random walk copies the current word to the output and
 moves on or stays by a random bit of (output place, word), the same bits for both sides, so after an
 edit the two walks meet again and edit distance becomes Hamming distance.  Bit sampling hashes a few
-output places; ``walks`` independent walks with ``keys`` samples each give the target recall.  A
-window that agrees with an item in any sample is verified by exact dynamic programming.
+output places; ``walks`` independent walks with ``keys`` samples each give the target recall.  Walks
+drift apart as edits add up, so for items of more than ``whole`` words as many walks each are also
+made over their first half, quarter and so on, down to some ``whole`` words: where edits are spread
+the beginnings still agree, where they are crowded into the beginning the rest does.  A window that
+agrees with an item in any sample is verified by exact dynamic programming.
 
 Windows are taken at every word, with the length of each class of items.  A window within the bound
 keeps at least W - 2 - 3 * floor(tau * W) of the item's word triples, so windows with fewer words of
@@ -36,6 +39,7 @@ class Options:
     walks: int = 16
     keys: int = 6
     sampled: int = 3  # output places in each key
+    whole: int = 60  # words of an item from which beginnings have walks of their own
     ratio: float = 1.15  # of the longest to the shortest item of a class
     min_words: int = 3  # shorter items are no evidence and are not searched
     chunk: int = 20_000  # items searched in one pass over the documents
@@ -124,10 +128,15 @@ class Items:
 
     def sample(self, m: np.ndarray, c: Class) -> np.ndarray:
         """The keys of each row: samples of its embeddings."""
-        o, steps = self.o, max(2, 2 * c.low)
+        o, n = self.o, c.low
         rng = np.random.default_rng((o.seed, c.low))
+        lengths = [n]
+        while n > o.whole:
+            n //= 2
+            lengths.append(n)
         out = []
-        for walk in range(o.walks):
+        for walk in range(o.walks * len(lengths)):
+            steps = max(2, 2 * lengths[walk // o.walks])
             e = embed(m, steps, o.seed * 1000 + walk)
             for k in range(o.keys):
                 key = np.full(len(m), U64(walk * o.keys + k + 1))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from helpers import prose, rows, vocabulary
 
 from tesserae.llm import decontamination as d
@@ -81,3 +82,13 @@ def test_bad_rows(spark):
     got = sorted((str(x.doc_id), x.item_id, x.n_places) for x in d.leaking(docs, bench).collect())
     assert got == [("5", 1, 2), ("5", 2, 2), ("None", 1, 1), ("None", 2, 1)]
     assert d.leaking(docs, bench.limit(0)).count() == 0 and d.leaking(docs.limit(0), bench).count() == 0
+
+
+def test_recall_of_long_items():
+    r, words, o = random.Random(11), vocabulary(3000), d.Options()
+    for n, count in ((200, 20), (400, 20)):
+        items = [prose(words, n, r) for _ in range(count)]
+        texts = [prose(words, 20, r) + " " + " ".join(edit(i.split(" "), d.allowed(n, o), r, words)) + " " + prose(words, 20, r) for i in items]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        got = {(x[0], x[1]) for x in d._search(batch, d.Items(list(range(count)), items, o))}
+        assert sum((i, i) in got for i in range(count)) >= 0.98 * count, n
