@@ -28,7 +28,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SENSITIVE = re.compile(
-    r"""(?:private|access|auth|authorization|bearer|credentials?|signing|encryption|session|client|secret|token|password|passwd|pwd|api)"""
+    r"""(private|access|auth|authorization|bearer|credentials?|signing|encryption|session|client|secret|token|password|passwd|pwd|api)"""
     r"""[A-Za-z_\x20-]{0,24}["']?\x20*[:=\x20]\x20*["']?([A-Za-z0-9+/_.=-]{16,})""",
     re.A | re.I,
 )
@@ -79,16 +79,16 @@ def find(text: str | None, novelty: Novelty) -> list[tuple[int, int, int, float]
     base += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     base += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     spans = [(s, e, k, novelty.marginal(text, s, e)) for s, e, k in base]
-    for m in SENSITIVE.finditer(text):
-        s, e = m.span(1)
-        if any(bs < e and s < be for bs, be, _ in base):
-            continue
-        v = m[1]
-        if not (any(c.isdigit() for c in v) and any(c.isalpha() for c in v)):
+    at = done = 0
+    while m := SENSITIVE.search(text, at):
+        s, e = m.span(2)
+        at = m.end(1)  # not its end: the string may be or hold the next sensitive word
+        if s < done or any(bs < e and s < be for bs, be, _ in base):
             continue
         cost = novelty.marginal(text, s, e)
         if cost >= novelty.options.min_novelty * (e - s):
             spans.append((s, e, 3, cost))
+            done = e
     return sorted(spans)
 
 

@@ -40,6 +40,16 @@ def test_secrets(spark):
     assert secrets.scan(rows(spark, texts).limit(0)).count() == 0
 
 
+def test_every_candidate_is_measured():
+    def novel(t):
+        return [t[s:e] for s, e, k, _ in secrets.find(t, secrets.Novelty()) if secrets.KINDS[k] == "novel"]
+
+    assert novel("private key: qWzXvKpLmTgRbHyNcJdF") == ["qWzXvKpLmTgRbHyNcJdF"]
+    assert "Zk3vQ9xT1mB7wLp4Rj8s" in novel("token authentication-service-name = Zk3vQ9xT1mB7wLp4Rj8s")
+    assert novel("client session key: Zk3vQ9xT1mB7wLp4Rj8s") == ["Zk3vQ9xT1mB7wLp4Rj8s"]
+    assert novel("client application/json session /usr/local/bin/authorization") == []
+
+
 def test_secret_query(spark, tiny):
     text = {x.doc_id: x.text for x in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     for x in queries.op1_secret_scan(spark, tiny).collect():
