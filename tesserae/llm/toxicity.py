@@ -1,16 +1,21 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine, with exact block-max search.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, with block-max search.
 
 Features are whole words and word beginnings, since inflected insults share their stem.  The
-vocabulary is what separates the labels in the training sample; document frequencies are counted
-over all documents, and a feature's weight is its inverse document frequency times the logarithm of
-its odds.  Every training example is a sparse unit vector.  The examples are stored as an
-inverted index cut into blocks of ``block`` examples, and each feature keeps the largest weight it
-has in each block.  For a query the sum of query weight times block maximum bounds every cosine in
-a block; blocks are visited from the largest bound down and the search stops when the next bound
-cannot reach the k-th best found, so the k neighbours are exact.
-
-Neighbours vote with weights exp(-distance / width); a logistic curve fitted on leave-one-out votes
-of the training examples makes the vote a probability.  The neighbours are the evidence.
+vocabulary is every feature that at least ``min_share`` of the examples hold, whatever their label;
+a feature weighs its count times its inverse document frequency over all documents.  Every training
+example is a sparse unit vector.
+
+Features that more than ``dense_share`` of the examples hold are kept as rows over all examples and
+multiplied out.  The others form an inverted index cut into blocks of ``block`` examples, and each
+feature keeps the largest weight it has in each block.  For a query, the block's largest product of
+the first kind plus the sum of query weight times block maximum bounds every cosine in a block; the
+blocks with the largest bounds are evaluated first, and then only those whose bound reaches the k-th
+best found, so the k neighbours are exact.
+
+The nearest 4, 16 and 64 neighbours vote with weights exp(-distance / width).  A logistic curve fitted
+on leave-one-out values of the training examples makes a probability of these votes, of the largest
+cosine and of the strongest label odds among the document's features (counted on the same examples);
+labels enter here only, not into vectors, vocabulary or search.  The neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -33,14 +38,13 @@ from .quality import logistic
 @dataclass(frozen=True)
 class Options:
     per_class: int = 1500  # bound of the labelled sample, for each label
-    prefixes: tuple[int, ...] = (3, 4, 5, 6)  # bytes of word beginnings that are features
-    min_count: int = 5  # training documents that hold a feature
-    min_odds: float = 4.0  # how much more often one label has it than the other
-    min_gain: float = 1.5  # likelihood-ratio statistic of feature against label
-    max_features: int = 20_000
+    prefixes: tuple[int, ...] = (5, 7)  # bytes of word beginnings that are features
+    min_share: float = 0.01  # of the examples that hold a feature; 2 examples at least
+    dense_share: float = 0.1
     block: int = 64
-    k: int = 16
-    width: float = 0.35
+    first: int = 4  # blocks evaluated before the others are compared with the k-th best
+    votes: tuple[int, ...] = (4, 16, 64)  # neighbours that vote together; the last is k
+    width: float = 0.1
     folds: int = 3
     held: int = 1
     threshold: float = 0.7
@@ -65,25 +69,29 @@ def features(buf: np.ndarray, offs: np.ndarray, o: Options) -> tuple[np.ndarray,
 
 
 class Index:
-    """Unit vectors of the labelled examples as a blocked inverted index."""
+    """Unit vectors of the labelled examples: dense rows of frequent features, a blocked inverted index of the others."""
 
-    def __init__(self, o: Options, vocabulary: np.ndarray, weight: np.ndarray):
-        self.o, self.vocabulary, self.weight = o, vocabulary, weight  # sorted hashes, and their idf
+    def __init__(self, o: Options, vocabulary: np.ndarray, idf: np.ndarray, counts: np.ndarray | None = None, n: tuple[int, int] = (0, 0)):
+        """``vocabulary``: sorted hashes; ``counts``: for each the examples of label 0 and 1 that hold it, of ``n`` examples."""
+        self.o, self.vocabulary, self.idf, self.n = o, vocabulary, idf, n
+        self.counts = np.zeros((len(vocabulary), 2), np.int64) if counts is None else counts
 
     def vectors(self, own: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, features and weights of ``n`` unit TF-IDF vectors (1 + ln tf) * weight, from occurrences."""
+        """Rows, features and weights of ``n`` unit vectors tf * idf, from occurrences."""
+        size = max(1, len(self.vocabulary))
         at = np.searchsorted(self.vocabulary, h)
         at[at == len(self.vocabulary)] = 0
         ok = (self.vocabulary[at] == h) if len(self.vocabulary) else np.zeros(len(h), bool)
-        key, tf = np.unique(own[ok] * max(1, len(self.vocabulary)) + at[ok], return_counts=True)
-        row, f = np.divmod(key, max(1, len(self.vocabulary)))
-        v = (1 + np.log(tf)) * self.weight[f]
+        key, tf = np.unique(own[ok] * size + at[ok], return_counts=True)
+        row, f = np.divmod(key, size)
+        v = tf * self.idf[f]
         norm = np.sqrt(np.bincount(row, v * v, n))
         return row, f, v / norm[row]
 
     def build(self, row: np.ndarray, f: np.ndarray, v: np.ndarray, y: np.ndarray, ids: np.ndarray) -> Index:
         # similar examples share a block, which keeps the bounds tight
-        lead = np.full(len(y), len(self.vocabulary))
+        size, m = len(self.vocabulary), len(y)
+        lead = np.full(m, size)
         order = np.lexsort((-v, row))
         head = np.unique(row[order], return_index=True)
         lead[head[0]] = f[order][head[1]]
@@ -91,94 +99,116 @@ class Index:
         row = place[row]
         self.y, self.ids = np.empty_like(y), np.empty_like(ids)
         self.y[place], self.ids[place] = y, ids
-        self.n_blocks = max(1, -(-len(y) // self.o.block))
-        self.maxima = np.zeros((len(self.vocabulary), self.n_blocks), np.float32)
+        self.n_blocks = max(1, -(-m // self.o.block))
+        self.edges = np.arange(self.n_blocks) * self.o.block
+        frequent = np.bincount(f, minlength=size) > self.o.dense_share * max(1, m)
+        self.dense_at = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((int(frequent.sum()), m))
+        d = frequent[f]
+        self.dense[self.dense_at[f[d]], row[d]] = v[d]
+        row, f, v = row[~d], f[~d], v[~d]
+        self.maxima = np.zeros((size, self.n_blocks), np.float32)
         np.maximum.at(self.maxima, (f, row // self.o.block), np.nextafter(v.astype(np.float32), np.float32(2)))
-        # postings by (block, feature)
-        key = (row // self.o.block) * max(1, len(self.vocabulary)) + f
-        by = np.lexsort((row, key))
-        self.post_row, self.post_v = row[by], v[by]
-        self.keys, self.key_at = np.unique(key[by], return_index=True)
-        self.key_at = np.append(self.key_at, len(by))
+        # postings by feature and row: offsets[f, b] is where those of block b begin
+        by = np.lexsort((row, f))
+        self.post_row, self.post_v = row[by].astype(np.int32), v[by]
+        key = f[by] * self.n_blocks + row[by] // self.o.block
+        at = np.searchsorted(key, np.arange(size * self.n_blocks + 1)).astype(np.int32)
+        self.offsets = np.concatenate([at[:-1].reshape(size, self.n_blocks), at[self.n_blocks :: self.n_blocks, None]], 1) if size else np.zeros((0, self.n_blocks + 1), np.int32)
         return self
 
+    def _add(self, sims: np.ndarray, f: np.ndarray, v: np.ndarray, blocks: np.ndarray | slice) -> None:
+        """Adds the products of rare features with the examples of some blocks, or of all (a slice)."""
+        if isinstance(blocks, slice):
+            s, e, w = self.offsets[f, 0], self.offsets[f, -1], v
+        else:
+            s, e = self.offsets[f[:, None], blocks].ravel(), self.offsets[f[:, None], blocks + 1].ravel()
+            w = np.repeat(v, len(blocks))
+        n = e - s
+        some = n > 0
+        s, n, w = s[some], n[some], w[some]
+        if len(n):
+            at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sims += np.bincount(self.post_row[at], np.repeat(w, n) * self.post_v[at], len(sims))
+
     def nearest(self, f: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest examples, ties to the smaller id; examples that share nothing are not listed."""
-        k, block = self.o.k, self.o.block
-        bound = v @ self.maxima[f]
-        sims, rows = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(sims) >= k and bound[b] * (1 + 1e-5) < sims[k - 1]:
-                break
-            key = b * len(self.vocabulary) + f
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            acc = np.zeros(block)
-            for i in np.flatnonzero(self.keys[at] == key):
-                s, e = self.key_at[at[i]], self.key_at[at[i] + 1]
-                acc[self.post_row[s:e] - b * block] += v[i] * self.post_v[s:e]
-            hit = np.flatnonzero(acc > 0)
-            r = hit + b * block
-            hit, r = hit[r != skip], r[r != skip]
-            sims, rows = np.concatenate([sims, acc[hit]]), np.concatenate([rows, r])
-            top = np.lexsort((self.ids[rows], -np.round(sims, 12)))[:k]
-            sims, rows = sims[top], rows[top]
-        return sims, rows
-
-    def vote(self, sims: np.ndarray, rows: np.ndarray) -> tuple[float, float]:
-        """Share of label 1 among the weighted neighbours, as a logit, and the largest cosine."""
-        w = np.exp((sims - 1) / self.o.width)
-        one, zero = float(w[self.y[rows] == 1].sum()), float(w[self.y[rows] == 0].sum())
-        return np.log((one + 0.02) / (zero + 0.02)), float(sims[0]) if len(sims) else 0.0
+        k, m = self.o.votes[-1], len(self.y)
+        if not m:
+            return np.zeros(0), np.zeros(0, np.int64)
+        d = self.dense_at[f]
+        sims = v[d >= 0] @ self.dense[d[d >= 0]]
+        f, v = f[d < 0], v[d < 0]
+        bound = np.maximum.reduceat(sims, self.edges) + v @ self.maxima[f]
+        order = np.argsort(-bound, kind="stable")
+        done = np.zeros(self.n_blocks, bool)
+        done[order[: self.o.first]] = True
+        self._add(sims, f, v, order[: self.o.first])
+        block = np.arange(m) // self.o.block
+        known = np.where(done[block], sims, 0.0)
+        known[skip if skip >= 0 else slice(0, 0)] = 0.0
+        least = np.partition(known, m - k)[m - k] if m > k else 0.0
+        left = np.flatnonzero(~done & (bound * (1 + 1e-5) >= least) & (bound > 0))
+        if 3 * len(left) > self.n_blocks:  # cheaper in one sweep
+            fresh = np.zeros(m)
+            self._add(fresh, f, v, slice(None))
+            sims = np.where(done[block], sims, sims + fresh)
+            done[:] = True
+        elif len(left):
+            self._add(sims, f, v, left)
+            done[left] = True
+        ok = done[block] & (sims > 0)
+        ok[skip if skip >= 0 else slice(0, 0)] = False
+        rows = np.flatnonzero(ok)
+        if len(rows) > k:
+            value = np.round(sims[rows], 12)
+            rows = rows[value >= np.partition(value, len(rows) - k)[len(rows) - k]]
+        top = np.lexsort((self.ids[rows], -np.round(sims[rows], 12)))[:k]
+        return sims[rows[top]], rows[top]
+
+    def tilt(self, f: np.ndarray, own: int = -1) -> float:
+        """The strongest log odds of label 1 among features; without the example itself, if its label is given."""
+        if not len(f):
+            return 0.0
+        a, b = self.counts[f, 1] - (own == 1), self.counts[f, 0] - (own == 0)
+        return float((np.log((a + 1) / (self.n[1] + 2)) - np.log((b + 1) / (self.n[0] + 2))).max())
+
+    def signals(self, f: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Votes of the nearest examples as logits, the logarithm of the largest cosine, and the strongest odds; the neighbours' places."""
+        sims, rows = self.nearest(f, v, skip)
+        best = float(sims[0]) if len(sims) else 1e-6
+        w = np.exp((sims - best) / self.o.width)
+        one = np.cumsum(np.append(0, w * (self.y[rows] == 1)))
+        zero = np.cumsum(np.append(0, w * (self.y[rows] == 0)))
+        at = np.minimum(self.o.votes, len(rows))
+        return np.array([*np.log((one[at] + 0.02) / (zero[at] + 0.02)), np.log(max(best, 1e-6)), self.tilt(f, int(self.y[skip]) if skip >= 0 else -1)]), rows
 
     def fit(self, row: np.ndarray, f: np.ndarray, v: np.ndarray, shares: tuple[float, float]) -> Index:
-        """The calibration, from leave-one-out votes.  Rows are places in the index."""
+        """The calibration, from leave-one-out signals.  Rows are places in the index."""
         order = np.argsort(row, kind="stable")
         at = np.searchsorted(row[order], np.arange(len(self.y) + 1))
-        z = np.zeros((len(self.y), 2))
+        z = np.zeros((len(self.y), self.width))
         for i in range(len(self.y)):
             sel = order[at[i] : at[i + 1]]
             if len(sel):
-                z[i] = self.vote(*self.nearest(f[sel], v[sel], i))
+                z[i] = self.signals(f[sel], v[sel], i)[0]
         n1, n0 = max(1, int((self.y == 1).sum())), max(1, int((self.y == 0).sum()))
-        self.shares = shares
-        self.curve = logistic(z, self.y, np.where(self.y == 1, shares[1] / n1, shares[0] / n0)) if len(self.y) and 0 < self.y.mean() < 1 else np.array([0.0, 0.0, np.clip(np.log((shares[1] + 1e-6) / (shares[0] + 1e-6)), -10, 10)])
+        self.mean, self.scale = (z.mean(0), z.std(0) + 1e-9) if len(z) else (np.zeros(self.width), np.ones(self.width))
+        if len(self.y) and 0 < self.y.mean() < 1:
+            self.curve = logistic((z - self.mean) / self.scale, self.y, np.where(self.y == 1, shares[1] / n1, shares[0] / n0))
+        else:
+            self.curve = np.append(np.zeros(self.width), np.clip(np.log((shares[1] + 1e-6) / (shares[0] + 1e-6)), -10, 10))
         return self
 
+    @property
+    def width(self) -> int:
+        return len(self.o.votes) + 2
+
     def score(self, z: np.ndarray) -> np.ndarray:
+        z = (z - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.curve[:-1] + self.curve[-1], -40, 40)))
 
 
-def occurrences(docs: DataFrame, o: Options) -> DataFrame:
-    """``doc_id, y, f``: the feature hashes of each document with repeats, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole):
-                own, h = features(*utf8(b.column("text")), o)
-                order = np.argsort(own, kind="stable")
-                at = np.searchsorted(own[order], np.arange(b.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([h[order[s:e]].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "y", "f"])
-
-    return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, f binary")
-
-
-def select(counts: DataFrame, n1: int, n0: int, o: Options) -> DataFrame:
-    """The features that separate the labels: ``f, gain, odds`` of at most ``max_features``.  ``counts`` has f, c1, c0.
-
-    ``gain`` is the likelihood-ratio statistic of feature against label, ``odds`` how much more often
-    one label has the feature than the other.
-    """
-    a, b = F.col("c1").cast("double"), F.col("c0").cast("double")
-    n = float(max(1, n1 + n0))
-    term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    gain = 2 * sum((term(x, m * (s / n)) for x, m, s in ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0)) if s), F.lit(0.0))
-    odds = (a + 0.5) / (n1 + 1.0) / ((b + 0.5) / (n0 + 1.0))
-    odds = F.greatest(odds, 1.0 / odds)
-    rows = counts.where((a + b >= o.min_count) & (odds >= o.min_odds)).withColumn("gain", gain).withColumn("odds", odds).where(F.col("gain") >= o.min_gain)
-    return rows.orderBy(F.col("gain").desc(), "f").limit(o.max_features)
-
-
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, o: Options) -> np.ndarray:
     """In how many of all documents each vocabulary feature occurs; partitions count, Spark adds."""
 
@@ -222,16 +252,16 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Index:
                 y = b.column("y").to_numpy(zero_copy_only=False)[own[new]]
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(y, pa.int32())], names=["f", "y"])
 
-    counts = some.select("y", "text").mapInArrow(distinct, "f bigint, y int").groupBy("f").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    n1, n0 = (min(o.per_class, shares.get(y, 0)) for y in (1, 0))
-    picked = select(counts, n1, n0, o).select("f", "odds").collect()
+    counts = some.select("y", "text").mapInArrow(distinct, "f bigint, y int").groupBy("f").agg(F.sum(1 - F.col("y")).alias("c0"), F.sum("y").alias("c1"))
+    n = [min(o.per_class, shares.get(y, 0)) for y in (0, 1)]
+    # at most (features of a mean example) / min_share rows, however many examples there are
+    picked = counts.where(F.col("c0") + F.col("c1") >= max(2, o.min_share * sum(n))).collect()
     vocabulary = np.array([r.f for r in picked], np.int64).view(U64)
     order = np.argsort(vocabulary)
-    vocabulary, odds = vocabulary[order], np.array([r.odds for r in picked])[order]
+    vocabulary, held = vocabulary[order], np.array([(r.c0, r.c1) for r in picked], np.int64).reshape(-1, 2)[order]
     df = document_frequencies(docs, vocabulary, o)
     n_docs = docs.count()
-    idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
-    index = Index(o, vocabulary, idf * np.log(odds))
+    index = Index(o, vocabulary, np.log((1.0 + n_docs) / (1.0 + df)) + 1e-6, held)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -247,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Index:
     v = np.concatenate([*(np.frombuffer(r.v) for r in got), np.zeros(0)])
     row = np.repeat(np.arange(len(got)), [len(r.f) // 8 for r in got])
     ids, y = np.array([r.doc_id for r in got], np.int64), np.array([r.y for r in got], np.int64)
+    index.n = (int((y == 0).sum()), int((y == 1).sum()))
     index.build(row, f, v, y, ids)
     # rows of the calibration are places in the built index
     where = {(int(i), n): p for p, (i, n) in enumerate(zip(index.ids, _ordinal(index.ids)))}
@@ -268,7 +299,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """``docs`` with ``toxicity``, a probability of label 1, and ``evidence``, the ids of the three nearest examples.
 
     A text without any feature of the vocabulary, null and empty ones included, has no neighbour and
-    gets the calibrated score of an even vote.  Rows pass through one by one, so repeated rows, nulls
+    gets the calibrated score of even votes.  Rows pass through one by one, so repeated rows, nulls
     elsewhere and further columns do no harm (columns toxicity and evidence are replaced); an empty
     table gives no rows.
     """
@@ -279,10 +310,9 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             for b in pieces(whole):
                 r, f, v = index.vectors(*features(*utf8(b.column("text")), index.o), b.num_rows)
                 at = np.searchsorted(r, np.arange(b.num_rows + 1))
-                z, near = np.zeros((b.num_rows, 2)), [[] for _ in range(b.num_rows)]
+                z, near = np.zeros((b.num_rows, index.width)), [[] for _ in range(b.num_rows)]
                 for i in np.flatnonzero(np.diff(at)):
-                    sims, rows = index.nearest(f[at[i] : at[i + 1]], v[at[i] : at[i + 1]])
-                    z[i] = index.vote(sims, rows)
+                    z[i], rows = index.signals(f[at[i] : at[i + 1]], v[at[i] : at[i + 1]])
                     near[i] = index.ids[rows[:3]].tolist()
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.score(z), pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[*b.schema.names, "toxicity", "evidence"])
 

@@ -153,14 +153,15 @@ def test_toxicity_search_is_exact_and_held_out(spark, tiny):
 
     r, f, v = index.vectors(*toxicity.features(*utf8(pa.array([x.text for x in sample])), index.o), len(sample))
     dense = np.zeros((len(index.y), len(index.vocabulary)))
-    key = index.keys.repeat(np.diff(index.key_at))
-    dense[index.post_row, key % len(index.vocabulary)] = index.post_v
+    dense[:, index.dense_at >= 0] = index.dense.T
+    dense[index.post_row, np.arange(len(index.vocabulary)).repeat(index.offsets[:, -1] - index.offsets[:, 0])] = index.post_v
+    assert (index.dense_at >= 0).any() and len(index.post_v)
     assert np.allclose(np.linalg.norm(dense, axis=1)[np.linalg.norm(dense, axis=1) > 0], 1)
     for i in range(0, len(sample), 11):
         mine = r == i
         if mine.any():
             cos = dense[:, f[mine]] @ v[mine]
-            best = np.lexsort((index.ids, -np.round(cos, 12)))[: index.o.k]
+            best = np.lexsort((index.ids, -np.round(cos, 12)))[: index.o.votes[-1]]
             sims, rows_ = index.nearest(f[mine], v[mine])
             assert np.allclose(sims, cos[best][cos[best] > 0][: len(sims)]) and rows_.tolist() == best[cos[best] > 0].tolist()
     got = [x for x in queries.op5_toxicity(spark, big).collect() if x.held_out and x.doc_id in y]
