@@ -2,10 +2,12 @@
 
 Every non-blank line is good or bad.  A line's emission is a sum of table entries, one for each of
 its features and of its two neighbours' features, cut into bins at quantiles; a 2 x 2 table scores
-neighbouring labels.  Fitting takes each line's label from its document and ascends the conditional
-likelihood, whose gradient comes from forward-backward marginals.  A document's raw score is the
-mean marginal of its lines, weighted by length; a logistic curve fitted on the training documents,
-weighted to the class shares of all training labels, makes it a probability.
+neighbouring labels.  Fitting takes each line's label from its document and ascends one penalised
+conditional log-likelihood, in which a document counts by one over its lines and its class's size;
+emissions and label pairs follow its gradient, which comes from forward-backward marginals.  A
+document's raw score is the mean marginal of its lines, weighted by length, and nothing else; a
+logistic curve fitted on the training documents, weighted to the class shares of all training
+labels, makes it a probability.
 
 Only the fit is on a bounded sample (``Options.per_class`` documents a class, each of at most
 ``max_lines`` lines); scoring reads every line of every text.
@@ -129,8 +131,8 @@ class Chains:
         self.longest = int(self.sorted[0]) if len(self.sorted) else 0
         self.alive = np.searchsorted(-self.sorted, -np.arange(self.longest), "left")  # chains longer than t
 
-    def marginals(self, e: np.ndarray, t: np.ndarray, edges: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """P(good) of every line for emissions ``e`` (bad lines have 0), and the expected label pairs."""
+    def marginals(self, e: np.ndarray, t: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of every line for emissions ``e`` (bad lines have 0).  With ``edges``, a weight of each document: the sum of expected label pairs too, and the log partition function of each document."""
         n = len(e)
         pot = np.empty((n, 2))
         top = np.maximum(e, 0)
@@ -138,12 +140,15 @@ class Chains:
         a, b = np.empty((n, 2)), np.empty((n, 2))
         trans = np.exp(t - t.max())
         at = self.first[self.order]
-        expected = np.zeros((2, 2))
+        expected, log_z = np.zeros((2, 2)), np.zeros(len(self.first))
         for s in range(self.longest):
             k = self.alive[s]
             i = at[:k] + s
             v = pot[i] if s == 0 else pot[i] * (a[i - 1] @ trans)
-            a[i] = v / v.sum(1, keepdims=True)
+            total = v.sum(1, keepdims=True)
+            a[i] = v / total
+            if edges is not None:
+                log_z[self.order[:k]] += np.log(total[:, 0]) + top[i] + (t.max() if s else 0.0)
         for s in range(self.longest - 1, -1, -1):
             k = self.alive[s]
             i = at[:k] + s
@@ -153,11 +158,11 @@ class Chains:
                 j = i[:k2]
                 v = (pot[j + 1] * b[j + 1]) @ trans.T
                 b[j] = v / v.sum(1, keepdims=True)
-                if edges:
+                if edges is not None:
                     p = a[j][:, :, None] * trans[None] * (pot[j + 1] * b[j + 1])[:, None, :]
-                    expected += (p / p.sum((1, 2), keepdims=True)).sum(0)
+                    expected += (p * (edges[self.order[:k2]] / p.sum((1, 2)))[:, None, None]).sum(0)
         m = a * b
-        return m[:, 1] / m.sum(1), expected
+        return m[:, 1] / m.sum(1), expected, log_z
 
 
 class Crf:
@@ -168,7 +173,7 @@ class Crf:
         self.cuts: list[np.ndarray] = []
         self.table = np.zeros((3 * len(FEATURES), 2 * options.bins + 1))
         self.pairs = np.zeros((2, 2))
-        self.curve = np.array([1.0, 0.0, 0.0])
+        self.curve = np.array([1.0, 0.0])
         self.prior = 0.5
 
     def binned(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -192,20 +197,38 @@ class Crf:
         return np.clip(e, -30, 30)
 
     def raw(self, lines: Lines) -> np.ndarray:
-        """Length-weighted logit and log length of each document; without lines, nan."""
+        """The logit of each document's length-weighted mean marginal; without lines, nan."""
         bins = self.binned(lines.x, lines.count)
-        p, _ = Chains(lines.count).marginals(self.emissions(bins), self.pairs)
+        p, _, _ = Chains(lines.count).marginals(self.emissions(bins), self.pairs)
         n = len(lines.count)
         w = np.bincount(lines.doc, lines.weight, n)
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = np.bincount(lines.doc, lines.weight * p, n) / w
         mean = np.clip(mean, 1e-4, 1 - 1e-4)
-        return np.stack([np.log(mean / (1 - mean)), np.log1p(w)], 1)
+        return np.log(mean / (1 - mean))[:, None]
 
     def score(self, lines: Lines) -> np.ndarray:
         z = self.raw(lines)
         return np.where(np.isnan(z[:, 0]), self.prior, 1 / (1 + np.exp(-np.clip(z @ self.curve[:-1] + self.curve[-1], -40, 40))))
 
+    def ascent(self, bins: np.ndarray, chains: Chains, y: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The penalised log-likelihood of all lines having their document's label, and its gradients by emission table and label pairs."""
+        o = self.o
+        # each document weighs the same, and so does each class
+        weight = 1.0 / np.maximum(count, 1) / np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum()))
+        e = self.emissions(bins)
+        p, expected, log_z = chains.marginals(e, self.pairs, weight)
+        label = np.repeat(y, count).astype(np.float64)
+        pairs = np.zeros((2, 2))
+        for k in (0, 1):
+            pairs[k, k] = (weight * np.maximum(count - 1, 0))[y == k].sum()
+        owner = np.repeat(np.arange(len(count)), count)
+        value = (weight * (np.bincount(owner, label * e, len(count)) - log_z)).sum() + (pairs * self.pairs).sum()
+        value -= o.l2 / 2 * ((self.table**2).sum() / len(FEATURES) + (self.pairs**2).sum())
+        d = np.repeat(weight, count) * (label - p) * (np.abs(e) < 30)
+        g = np.stack([np.bincount(bins[:, f], d, self.table.shape[1]) for f in range(bins.shape[1])]) - o.l2 * self.table / len(FEATURES)
+        return value, g, pairs - expected - o.l2 * self.pairs
+
     def fit(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray, shares: tuple[float, float]) -> Crf:
         """``x``: lines of all documents in order; ``count``, ``y``: lines and label of each document; ``shares``: of labels 0 and 1 in all training rows."""
         o = self.o
@@ -213,29 +236,19 @@ class Crf:
         for f in range(x.shape[1]):
             self.cuts.append(_cuts(x[:, f], o.bins))
         if not len(x) or y.min() == y.max():
-            self.curve = np.array([0.0, 0.0, np.clip(np.log((self.prior + 1e-6) / (1 - self.prior + 1e-6)), -10, 10)])
+            self.curve = np.array([0.0, np.clip(np.log((self.prior + 1e-6) / (1 - self.prior + 1e-6)), -10, 10)])
             return self
         bins, chains = self.binned(x, count), Chains(count)
-        label = np.repeat(y, count).astype(np.float64)
-        # each document weighs the same, and so does each class
-        per_doc = 1.0 / np.maximum(count, 1) / np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum()))
-        lw = np.repeat(per_doc, count)
-        seen = np.zeros((2, 2))
-        seen[1, 1], seen[0, 0] = np.maximum(count[y == 1] - 1, 0).sum(), np.maximum(count[y == 0] - 1, 0).sum()
         m, v = np.zeros_like(self.table), np.zeros_like(self.table)
         tm, tv = np.zeros((2, 2)), np.zeros((2, 2))
         for step in range(1, o.iterations + 1):
-            p, expected = chains.marginals(self.emissions(bins), self.pairs, edges=True)
-            d = lw * (label - p)
-            g = np.stack([np.bincount(bins[:, f], d, self.table.shape[1]) for f in range(bins.shape[1])]) - o.l2 * self.table / len(FEATURES)
-            tg = (seen - expected) / max(1.0, seen.sum()) - o.l2 * self.pairs
+            _, g, tg = self.ascent(bins, chains, y, count)
             for param, grad, mm, vv in ((self.table, g, m, v), (self.pairs, tg, tm, tv)):
                 mm *= 0.9
                 mm += 0.1 * grad
                 vv *= 0.99
                 vv += 0.01 * grad * grad
                 param += o.rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-8)
-            np.clip(self.pairs, -2, 2, out=self.pairs)
         fitted = Lines.__new__(Lines)
         fitted.x, fitted.count, fitted.weight = x, count, weight
         fitted.doc = np.repeat(np.arange(len(count)), count)

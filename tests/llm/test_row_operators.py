@@ -106,15 +106,11 @@ def test_chat_round_trip(spark):
     assert chat.prefix_examples(df.limit(0)).count() == 0
 
 
-def test_crf_marginals_by_enumeration():
-    r = np.random.default_rng(0)
-    count = np.array([3, 0, 1, 4])
-    e, t = r.normal(size=8), r.normal(size=(2, 2))
-    p, pairs = quality.Chains(count).marginals(e, t, edges=True)
-    at, want, expected = 0, [], np.zeros((2, 2))
+def enumerated(count, e, t):
+    """Marginals, expected label pairs and log partition functions by listing all labellings."""
+    at, marginal, pairs, log_z = 0, [], [], []
     for n in count:
-        z, m = 0.0, np.zeros(n)
-        part = np.zeros((2, 2))
+        z, m, part = 0.0, np.zeros(n), np.zeros((2, 2))
         for y in range(2**n):
             lab = [(y >> k) & 1 for k in range(n)]
             w = np.exp(sum(e[at + k] * lab[k] for k in range(n)) + sum(t[a, b] for a, b in zip(lab, lab[1:])))
@@ -122,11 +118,101 @@ def test_crf_marginals_by_enumeration():
             m += w * np.array(lab)
             for a, b in zip(lab, lab[1:]):
                 part[a, b] += w
-        if n:
-            want += (m / z).tolist()
-            expected += part / z
+        marginal += (m / z).tolist()
+        pairs.append(part / z)
+        log_z.append(np.log(z))
         at += n
-    assert np.allclose(p, want) and np.allclose(pairs, expected)
+    return np.array(marginal), np.array(pairs), np.array(log_z)
+
+
+def test_crf_marginals_by_enumeration():
+    r = np.random.default_rng(0)
+    count = np.array([3, 0, 1, 4])
+    e, t, w = r.normal(size=8), r.normal(size=(2, 2)), r.random(4)
+    p, pairs, log_z = quality.Chains(count).marginals(e, t, edges=w)
+    want, expected, z = enumerated(count, e, t)
+    some = count > 0
+    assert np.allclose(p, want) and np.allclose(pairs, (w[some, None, None] * expected[some]).sum(0)) and np.allclose(log_z[some], z[some])
+
+
+def test_crf_gradient_is_that_of_the_likelihood():
+    r = np.random.default_rng(1)
+    count, y = np.array([3, 0, 1, 4, 2]), np.array([1, 0, 0, 0, 1])
+    x = r.normal(size=(10, len(quality.FEATURES))).astype(np.float32)
+    crf = quality.Crf(quality.Options(bins=3))
+    crf.cuts = [quality._cuts(x[:, f], 3) for f in range(x.shape[1])]
+    crf.table, crf.pairs = r.normal(size=crf.table.shape) * 0.2, r.normal(size=(2, 2))
+    bins, chains = crf.binned(x, count), quality.Chains(count)
+    value, g, tg = crf.ascent(bins, chains, y, count)
+    # the value itself, by enumeration
+    e = crf.emissions(bins)
+    _, _, z = enumerated(count, e, crf.pairs)
+    own = np.repeat(np.arange(5), count)
+    each = [(e[own == d].sum() * y[d] + max(0, count[d] - 1) * crf.pairs[y[d], y[d]] - (z[d] if count[d] else 0)) / max(1, count[d]) / (2 if y[d] else 3) for d in range(5)]
+    assert np.isclose(value, sum(each) - crf.o.l2 / 2 * ((crf.table**2).sum() / len(quality.FEATURES) + (crf.pairs**2).sum()))
+
+    def slope(param, at, h=1e-6):
+        keep, out = param[at], []
+        for step in (h, -h):
+            param[at] = keep + step
+            out.append(crf.ascent(bins, chains, y, count)[0])
+        param[at] = keep
+        return (out[0] - out[1]) / (2 * h)
+
+    for at in [(int(f), int(bins[k, f])) for f, k in zip(r.integers(0, bins.shape[1], 25), r.integers(0, 10, 25))]:
+        assert np.isclose(slope(crf.table, at), g[at], atol=1e-7)
+    assert all(np.isclose(slope(crf.pairs, (i, j)), tg[i, j], atol=1e-7) for i in (0, 1) for j in (0, 1))
+
+
+def plain_lines(text):
+    """Features and weights of the non-blank lines, word by word."""
+    fold = lambda w: bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+    lines = [(raw, re.findall(rb"[^\x20\x09-\x0D]+", raw)) for raw in (text or "").encode().split(b"\n")]
+    lines = [(raw, ws) for raw, ws in lines if ws]
+    upper, digit, symbol = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~=+_<>{}[]\\/|"
+    seen, out = set(), []
+    keys = [tuple(map(fold, ws)) for _, ws in lines]
+    for (raw, ws), key in zip(lines, keys):
+        n, chars = len(ws), sum(map(len, ws))
+        share = lambda cls: sum(c in cls for c in raw) / chars  # noqa: B023, E731
+        again = 0
+        for w in key:
+            again += w in seen
+            seen.add(w)
+        out.append(([
+            np.log1p(n), chars / n, share(upper), share(digit), share(symbol), share(b"|"), share(b"!"), share(b".;:?"), share(b","),
+            sum(a == b for a, b in zip(key[1:], key)) / n, sum(a == b for a, b in zip(key[2:], key)) / n, len(set(key)) / n,
+            sum(len(w) > 1 and w[0] in upper and w[1] in upper for w in ws) / n, sum(w[-1] in symbol for w in ws) / n, float(keys.count(key) > 1),
+            sum(c >= 128 for c in raw) / chars, max(map(len, ws)), float(ws[0][0] not in upper), np.log1p(len(lines)), again / n,
+        ], chars))
+    return out
+
+
+def test_quality_against_plain_version(spark, tiny):
+    """Every score of the query, from features taken word by word and a forward-backward pass line by line."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{tiny}/labels.parquet"))
+    got = {x.doc_id: x.score for x in queries.op2_quality(spark, tiny).collect()}
+    for doc_id, text in docs.collect():
+        lines = plain_lines(text)
+        if not lines:
+            assert got[doc_id] == model.prior
+            continue
+        x = np.array([f for f, _ in lines], np.float32)
+        bins = [[1 + int(np.searchsorted(c, row[k], "left")) for k, c in enumerate(model.cuts)] for row in x]
+        none = [0] * len(quality.FEATURES)
+        e = [sum(model.table[f, b] for f, b in enumerate(bins[i] + (bins[i - 1] if i else none) + (bins[i + 1] if i + 1 < len(bins) else none))) for i in range(len(bins))]
+        e = np.clip(e, -30, 30)
+        fwd, bwd = [np.array([0.0, e[0]])], [np.zeros(2)]
+        for v in e[1:]:
+            fwd.append(np.array([np.logaddexp(*(fwd[-1] + model.pairs[:, b])) + b * v for b in (0, 1)]))
+        for v in e[:0:-1]:
+            bwd.append(np.array([np.logaddexp(*(bwd[-1] + model.pairs[a] + np.array([0, v]))) for a in (0, 1)]))
+        both = np.array(fwd) + np.array(bwd[::-1])
+        p = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+        mean = np.clip(np.average(p, weights=[w for _, w in lines]), 1e-4, 1 - 1e-4)
+        want = 1 / (1 + np.exp(-(model.curve[0] * np.log(mean / (1 - mean)) + model.curve[1])))
+        assert abs(got[doc_id] - want) < 1e-6, doc_id
 
 
 def test_quality_held_out(spark, tiny):
