@@ -2,7 +2,7 @@
 
 Documents and benchmark items are sequences of words (letters and digits, A-Z lower-cased).  An item
 of W words leaks where a window of the document lies within floor(tau * W) word insertions,
-deletions and substitutions of it.
+deletions and substitutions of it; for items of fewer than 1 / tau words that is an exact match.
 
 Candidates come from the CGK embedding: a random walk copies the current word to the output and
 moves on or stays by a random bit of (output place, word), the same bits for both sides, so after an
@@ -10,17 +10,19 @@ edit the two walks meet again and edit distance becomes Hamming distance.  Bit s
 output places; ``walks`` independent walks with ``keys`` samples each give the target recall.  Walks
 drift apart as edits add up, so for items of more than ``whole`` words as many walks each are also
 made over their first half, quarter and so on, down to some ``whole`` words: where edits are spread
-the beginnings still agree, where they are crowded into the beginning the rest does.  A window that
-agrees with an item in any sample is verified by exact dynamic programming.
-
-Windows are taken at every word, with the length of each class of items.  A window within the bound
-keeps at least W - 2 - 3 * floor(tau * W) of the item's word triples, so windows with fewer words of
-known triples cannot match and are not embedded; this loses nothing.
+the beginnings still agree, where they are crowded into the beginning the rest does.  Items that
+allow no edit have one key, their words.  A window that agrees with an item in any sample is
+verified by exact bit-parallel dynamic programming.
+
+Windows are taken at every word, with the length of each class of items.  An edit breaks at most q
+of an item's W - q + 1 runs of q words, so a window within the bound keeps W - q + 1 - q * floor(tau * W)
+of them; q is the largest of 3, 2 and 1 for which that is positive.  Windows with fewer words where
+known runs begin cannot match and are not embedded; this loses nothing.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,24 +43,23 @@ class Options:
     sampled: int = 3  # output places in each key
     whole: int = 60  # words of an item from which beginnings have walks of their own
     ratio: float = 1.15  # of the longest to the shortest item of a class
-    min_words: int = 3  # shorter items are no evidence and are not searched
-    chunk: int = 20_000  # items searched in one pass over the documents
+    chunk_words: int = 1_000_000  # of items searched together: some 80 MB a worker
     seed: int = 11
 
 
-def edits(words: int, o: Options) -> int:
+def allowed(words: int, o: Options) -> int:
+    """Edits allowed for an item."""
     return int(o.tau * words)
 
 
-def kept_triples(words: int, o: Options) -> int:
-    """Word triples of an item that survive the most edits allowed; items too short for any are matched exactly."""
-    return words - 2 - 3 * allowed(words, o)
+def kept(words: int, q: int, o: Options) -> int:
+    """Runs of q words of an item that survive the most edits allowed."""
+    return words - q + 1 - q * allowed(words, o)
 
 
-def allowed(words: int, o: Options) -> int:
-    """Edits allowed for an item; none where they could break every triple."""
-    k = edits(words, o)
-    return k if words - 2 - 3 * k > 0 else 0
+def run_length(words: int, o: Options) -> int:
+    """The longest runs, of 3 words at most, of which some survive."""
+    return next((q for q in (3, 2) if kept(words, q, o) > 0), 1)
 
 
 def embed(x: np.ndarray, steps: int, seed: int) -> np.ndarray:
@@ -66,11 +67,11 @@ def embed(x: np.ndarray, steps: int, seed: int) -> np.ndarray:
     at = np.zeros(len(x), np.int64)
     rows, last = np.arange(len(x)), x.shape[1] - 1
     out = np.empty((len(x), steps), U64)
-    salt = mix(np.arange(1, steps + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+    salt = mix(np.arange(1, steps + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
     for j in range(steps):
         w = x[rows, at]
         out[:, j] = w
-        at = np.minimum(at + ((mix(w ^ salt[j]) >> U64(63)) & U64(1)).astype(np.int64), last)
+        at = np.minimum(at + ((w * salt[j]) >> U64(63)).astype(np.int64), last)  # multiply-shift of a word's hash
     return out
 
 
@@ -80,14 +81,55 @@ class Class:
 
     low: int
     high: int
+    most: int  # edits
+    q: int
     need: int
-    span: int
     keys: np.ndarray = field(default=None)
     items: np.ndarray = field(default=None)
 
+    @property
+    def span(self) -> int:
+        return self.high + self.most
+
+
+def classes_of(lengths: list[int], o: Options) -> list[Class]:
+    """Lengths in classes: of one length where no edit is allowed, else of those within ``ratio``."""
+    out: list[Class] = []
+    left = sorted({n for n in lengths if n})
+    while left:
+        low = left[0]
+        group = [n for n in left if n == low or allowed(low, o) and n <= low * o.ratio]
+        left = left[len(group) :]
+        q = min(run_length(n, o) for n in group)
+        out.append(Class(low, group[-1], max(allowed(n, o) for n in group), q, max(1, min(kept(n, q, o) for n in group))))
+    return out
+
+
+class Runs:
+    """The runs of q words of all items: which are known, and to which classes they belong."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray]]):
+        """``parts``: runs of the items of each class, by the class's number."""
+        self.known = np.unique(np.concatenate([*(g for _, g in parts), np.zeros(0, U64)]))
+        self.member = np.zeros(len(self.known), U64)  # bit n % 64: an item of class n has the run
+        for number, g in parts:
+            self.member[np.searchsorted(self.known, np.unique(g))] |= U64(1 << (number % 64))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.known >> U64(44)).astype(np.int64)] = True
+
+    def members(self, g: np.ndarray) -> np.ndarray:
+        """Class bits of each run; 0 for unknown ones."""
+        out = np.zeros(len(g), U64)
+        some = np.flatnonzero(self.bits[(g >> U64(44)).astype(np.int64)])
+        at = np.searchsorted(self.known, g[some])
+        at[at == len(self.known)] = 0
+        ok = self.known[at] == g[some] if len(self.known) else np.zeros(0, bool)
+        out[some[ok]] = self.member[at[ok]]
+        return out
+
 
 class Items:
-    """The benchmark items of one pass, as word hashes, with triples and keys."""
+    """The benchmark items of one pass, as word hashes, with runs and keys."""
 
     def __init__(self, ids: list[int], texts: list[str], o: Options):
         self.o = o
@@ -95,29 +137,27 @@ class Items:
         h = w.hashes()
         self.ids = np.array(ids, np.int64)
         self.words = [h[s:e] for s, e in zip(w.first[:-1], w.first[1:])]
-        use = [i for i, x in enumerate(self.words) if len(x) >= o.min_words]
-        g, at = grams(h, w.first, 3, whole=False)
-        self.own = [np.unique(g[at[i] : at[i + 1]]) for i in range(len(self.words))]
-        self.triples = np.unique(np.concatenate([*(g[at[i] : at[i + 1]] for i in use), np.zeros(0, U64)]))
-        self.member = np.zeros(len(self.triples), U64)  # bit n % 64: an item of class n has the triple
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.triples >> U64(44)).astype(np.int64)] = True
-        self.classes: list[Class] = []
-        use.sort(key=lambda i: len(self.words[i]))
-        while use:
-            low = len(self.words[use[0]])
-            group = [i for i in use if len(self.words[i]) <= low * o.ratio]
-            use = use[len(group) :]
-            high = len(self.words[group[-1]])
-            sizes = range(low, high + 1)
-            c = Class(low, high, max(1, min(kept_triples(n, o) for n in sizes)), high + max(allowed(n, o) for n in sizes))
+        self.masks: dict[int, dict[int, int]] = {}
+        self.classes = classes_of([len(x) for x in self.words], o)
+        parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+        of = {q: grams(h, w.first, q, whole=False) for q in {c.q for c in self.classes}}
+        for number, c in enumerate(self.classes):
+            group = [i for i, x in enumerate(self.words) if c.low <= len(x) <= c.high]
             k = self.sample(self.matrix([self.words[i] for i in group], c.span), c)
-            c.items = np.repeat(np.array(group), k.shape[1])
             by = np.argsort(k.ravel(), kind="stable")
-            c.keys, c.items = k.ravel()[by], c.items[by]
-            own = np.searchsorted(self.triples, np.unique(np.concatenate([self.own[i] for i in group])))
-            self.member[own] |= U64(1 << (len(self.classes) % 64))
-            self.classes.append(c)
+            c.keys, c.items = k.ravel()[by], np.repeat(np.array(group, np.int32), k.shape[1])[by]
+            g, at = of[c.q]
+            parts.setdefault(c.q, []).append((number, np.concatenate([g[at[i] : at[i + 1]] for i in group])))
+        self.runs = {q: Runs(p) for q, p in parts.items()}
+
+    def mask(self, i: int) -> dict[int, int]:
+        """For each word of an item, the bits of its places."""
+        if i not in self.masks:
+            m: dict[int, int] = {}
+            for place, w in enumerate(self.words[i].tolist()):
+                m[w] = m.get(w, 0) | 1 << place
+            self.masks[i] = m
+        return self.masks[i]
 
     @staticmethod
     def matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
@@ -127,8 +167,13 @@ class Items:
         return m
 
     def sample(self, m: np.ndarray, c: Class) -> np.ndarray:
-        """The keys of each row: samples of its embeddings."""
+        """The keys of each row: samples of its embeddings, or its words where no edit is allowed."""
         o, n = self.o, c.low
+        if not c.most:
+            key = np.full(len(m), U64(n))
+            for place in range(n):
+                key = mix(key * U64(31) ^ m[:, place])
+            return key[:, None]
         rng = np.random.default_rng((o.seed, c.low))
         lengths = [n]
         while n > o.whole:
@@ -137,60 +182,61 @@ class Items:
         out = []
         for walk in range(o.walks * len(lengths)):
             steps = max(2, 2 * lengths[walk // o.walks])
-            e = embed(m, steps, o.seed * 1000 + walk)
-            for k in range(o.keys):
+            picked = [np.sort(rng.choice(steps, min(steps, o.sampled), replace=False)) for _ in range(o.keys)]
+            e = embed(m, 1 + max(p[-1] for p in picked), o.seed * 1000 + walk)
+            for k, places in enumerate(picked):
                 key = np.full(len(m), U64(walk * o.keys + k + 1))
-                for place in np.sort(rng.choice(steps, min(steps, o.sampled), replace=False)):
+                for place in places:
                     key = mix(key * U64(31) ^ e[:, place])
                 out.append(key)
         return np.stack(out, 1)
 
-    def known(self, g: np.ndarray) -> np.ndarray:
-        out = self.bits[(g >> U64(44)).astype(np.int64)]
-        some = np.flatnonzero(out)
-        at = np.searchsorted(self.triples, g[some])
-        at[at == len(self.triples)] = 0
-        out[some] = self.triples[at] == g[some] if len(self.triples) else False
-        return out
 
+def align(mask: dict[int, int], m: int, text: list[int], most: int) -> tuple[int, int] | None:
+    """(edits, words of text) of the best match of a whole item of m words with a beginning of ``text``; ties go to the length nearest the item's, then to the shorter.  None beyond ``most``.
 
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
-    """(edits, words of text) of the best match of the whole item with a beginning of ``text``; ties go to the length nearest the item's."""
-    n = len(text)
-    row = np.arange(n + 1)
-    for i, w in enumerate(item, 1):
-        sub = row[:-1] + (text != w)
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(sub, row[1:] + 1)
-        # insertions run along the row
-        row = np.minimum.accumulate(new - np.arange(n + 1)) + np.arange(n + 1)
-        if row.min() > most:
-            return None
-    best = int(row.min())
-    ends = np.flatnonzero(row == best)
-    return best, int(ends[np.abs(ends - len(item)).argmin()])
-
-
-def leaks(h: np.ndarray, g: np.ndarray, known: np.ndarray, stop: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
+    Columns of the distance table are bit vectors of differences (Myers), here with both sides
+    anchored at their beginning.
+    """
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    best = (m, m, 0)
+    for j, w in enumerate(text, 1):
+        eq = mask.get(w, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = (mv | ~(xh | pv)) & full, pv & xh
+        if ph & last:
+            score += 1
+        elif mh & last:
+            score -= 1
+        ph, mh = ph << 1 | 1, mh << 1
+        pv, mv = (mh | ~(xv | ph)) & full, ph & xv & full
+        if score <= best[0]:
+            best = min(best, (score, abs(j - m), j))
+    return (best[0], best[2]) if best[0] <= most else None
+
+
+def windows(members: dict[int, np.ndarray], number: int, c: Class, stop: np.ndarray) -> np.ndarray:
+    """First words of the windows that hold enough runs of the class's items."""
+    one = (members[c.q] >> U64(number % 64)) & U64(1) == 1
+    if not one.any():
+        return np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(one)])
+    here = np.arange(len(one))
+    return np.flatnonzero(total[np.minimum(here + max(c.span - c.q + 1, 1), stop)] - total[:-1] >= c.need)
+
+
+def leaks(h: np.ndarray, members: dict[int, np.ndarray], stop: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """(item index, first word, end word, edits) of the leaks in several texts; places of one item do not overlap.
 
-    ``h`` are the words of all texts, ``g`` and ``known`` belong to the triple that begins at each
-    word (not known where none does), ``stop`` is the end of each word's text.
+    ``h`` are the words of all texts, ``members`` the class bits of the run of q words that begins at
+    each, ``stop`` is the end of each word's text.
     """
-    o, n = items.o, len(h)
-    here = np.arange(n)
-    marked = np.flatnonzero(known)
-    member = items.member[np.searchsorted(items.triples, g[marked])] if len(marked) else np.zeros(0, U64)
+    o = items.o
     found: dict[int, list[tuple[int, int, int]]] = {}
     for number, c in enumerate(items.classes):
-        # triples of this class's items only
-        one = np.zeros(n, bool)
-        one[marked[(member >> U64(number % 64)) & U64(1) == 1]] = True
-        if not one.any():
-            continue
-        total = np.concatenate([[0], np.cumsum(one)])
-        start = np.flatnonzero(total[np.minimum(here + max(c.span - 2, 1), stop)] - total[:-1] >= c.need)
+        start = windows(members, number, c, stop)
         for s in range(0, len(start), 4096):
             at = start[s : s + 4096]
             place = at[:, None] + np.arange(c.span + 1)
@@ -203,14 +249,10 @@ def leaks(h: np.ndarray, g: np.ndarray, known: np.ndarray, stop: np.ndarray, ite
             item = c.items[np.repeat(lo[hit], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
             for pair in np.unique(row * len(items.words) + item).tolist():
                 r, i = divmod(pair, len(items.words))
-                p, w = int(at[r]), items.words[i]
-                most = allowed(len(w), o)
-                end = min(int(stop[p]), p + len(w) + most)
-                # the item's own triples that must be left
-                if np.isin(g[p:end], items.own[i])[known[p:end]].sum() < max(1, kept_triples(len(w), o)):
-                    continue
-                got = align(w, h[p:end], most)
-                if got and got[0] <= most:
+                p, n = int(at[r]), len(items.words[i])
+                most = allowed(n, o)
+                got = align(items.mask(i), n, h[p : min(int(stop[p]), p + n + most)].tolist(), most)
+                if got:
                     found.setdefault(i, []).append((got[0], p, p + got[1]))
     out = []
     for i, places in found.items():
@@ -218,7 +260,7 @@ def leaks(h: np.ndarray, g: np.ndarray, known: np.ndarray, stop: np.ndarray, ite
         for d, s, e in sorted(places):
             at = bisect_left(taken, (s, s))
             if (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
-                taken.insert(at, (s, e))
+                insort(taken, (s, e))
                 out.append((i, s, e, d))
     return sorted(out)
 
@@ -227,11 +269,12 @@ FOUND = "doc_id bigint, item_id bigint, start bigint, end bigint, edits int, ite
 
 
 def _passes(benchmark: DataFrame, o: Options) -> Iterator[Items]:
-    """The benchmark in chunks of about ``Options.chunk`` items: what is shipped to the workers is bounded however long it is."""
-    chunks = max(1, -(-benchmark.count() // o.chunk))
+    """The benchmark in chunks of about ``Options.chunk_words`` words: what is shipped to the workers is bounded however long it is."""
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    words = rows.agg(F.sum(F.length("text") / 4)).head()[0] or 0
+    chunks = max(1, -(-int(words) // o.chunk_words))
     for chunk in range(chunks):
-        rows = benchmark.select("item_id", "text").where((F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk) & F.col("text").isNotNull() & F.col("item_id").isNotNull())
-        got = sorted({(r.item_id, r.text) for r in rows.collect()})
+        got = sorted({(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk).collect()})
         yield Items([i for i, _ in got], [t for _, t in got], o)
 
 
@@ -239,23 +282,25 @@ def _search(b: pa.RecordBatch, items: Items) -> list[tuple[int, int, int, int, i
     """(row, item_id, start byte, end byte, edits, words of the item) of the leaks in a batch."""
     w = Words(*utf8(b.column("text")), letter_words())
     h = w.hashes()
-    g, at = grams(h, w.first, 3, whole=False)
-    n = np.diff(at)
-    # triples by the word where they begin
-    begin = np.repeat(w.first[:-1], n) + np.arange(at[-1]) - np.repeat(at[:-1], n)
-    by_word, known = np.zeros(len(h), U64), np.zeros(len(h), bool)
-    by_word[begin], known[begin] = g, items.known(g)
+    members = {}
+    for q, runs in items.runs.items():
+        g, at = grams(h, w.first, q, whole=False)
+        n = np.diff(at)
+        # by the word where the run begins
+        begin = np.repeat(w.first[:-1], n) + np.arange(at[-1]) - np.repeat(at[:-1], n)
+        members[q] = np.zeros(len(h), U64)
+        members[q][begin] = runs.members(g)
     owner = np.repeat(np.arange(b.num_rows), np.diff(w.first))
     return [
         (int(owner[s]), int(items.ids[i]), int(w.start[s] - w.offs[owner[s]]), int(w.end[max(s, e - 1)] - w.offs[owner[s]]), d, len(items.words[i]))
-        for i, s, e, d in leaks(h, by_word, known, w.first[1:][owner], items)
+        for i, s, e, d in leaks(h, members, w.first[1:][owner], items)
     ]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataFrame:
     """``doc_id, item_id, start, end, edits, item_words``: every leak; start and end are byte offsets into the UTF-8 text.
 
-    Edge cases: null and empty texts and items, and items under ``min_words`` words, leak nowhere;
+    Edge cases: null and empty texts, and items without words, leak nowhere;
     equal items are found under each item_id; repeated rows give repeated leaks; null doc_ids are
     kept; columns besides doc_id, item_id and text are not read; an empty table on either side gives
     no rows.  Very long texts are searched as a whole.
@@ -278,7 +323,12 @@ def find(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataF
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, o: Options = Options()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, into which no item leaks.  Row by row: nothing is shuffled or joined."""
+    """The rows of ``docs``, with all their columns, into which no item leaks.
+
+    Row by row: nothing is shuffled or joined.  Edge cases are those of :func:`find`: null and empty
+    texts stay, repeated rows stay or go together, null doc_ids and further columns do no harm, and
+    an empty table on either side changes nothing.
+    """
     for items in _passes(benchmark, o):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:

@@ -40,11 +40,38 @@ def edit(words, k, r, vocabulary):
 
 def test_align():
     r = random.Random(3)
-    for _ in range(200):
-        a, b = [[r.randrange(4) for _ in range(r.randint(1, 9))] for _ in range(2)]
-        best = min(distance(a, b))
-        got = d.align(np.array(a, np.uint64), np.array(b, np.uint64), 99)
-        assert got[0] == best and distance(a, b)[got[1]] == best
+    for n in [*range(1, 10)] * 30 + [70, 130]:
+        a, b = [r.randrange(4) for _ in range(n)], [r.randrange(4) for _ in range(r.randint(0, n + 4))]
+        row, mask = distance(a, b), {}
+        for place, w in enumerate(a):
+            mask[w] = mask.get(w, 0) | 1 << place
+        best = min(row)
+        assert d.align(mask, n, b, 999) == (best, min((abs(j - n), j) for j, v in enumerate(row) if v == best)[1])
+        assert d.align(mask, n, b, best) and (best == 0 or d.align(mask, n, b, best - 1) is None)
+
+
+def test_recall_of_short_items(spark):
+    """Items of 1 to 9 words against a comparison of every window with every item."""
+    r, words, o = random.Random(17), vocabulary(500), d.Options()
+    items = [prose(words, n, r) for n in range(1, 10) for _ in range(8)] + ["alpha beta gamma delta omega"]
+    texts = ["we read alpha beta gamma delta epsilon today", "alpha beta gamma delta", "alpha gamma delta omega", "omega alpha beta gamma so delta omega"]
+    for i in range(360):
+        w = items[i % 72].split(" ")
+        k = min(len(w) - 1, i % 3)
+        texts.append(" ".join(prose(words, r.randint(0, 40), r).split() + edit(w, k, r, words) + prose(words, r.randint(0, 40), r).split()))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x.edits for x in d.leaking(rows(spark, texts), bench).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            best, most = brute(t, item, o)
+            if best <= most:
+                want[i, j] = best
+    assert all(want.get(k) == v for k, v in got.items())
+    assert all(k in got for k, v in want.items() if v == 0)
+    by = {n: [k in got for k in want if len(items[k[1]].split(" ")) == n] for n in range(1, 10)}
+    assert all(len(v) >= 15 and sum(v) >= 0.98 * len(v) for v in by.values())
+    assert {(i, 72) for i in range(4)} <= set(got)
 
 
 def test_recall_against_all_windows(spark):
@@ -80,7 +107,7 @@ def test_bad_rows(spark):
     bench = spark.createDataFrame([(1, item, "x"), (2, item, "y"), (None, item, "z"), (3, "one", "u")], "item_id bigint, text string, doc_id string")
     docs = spark.createDataFrame([(None, f"say: {item}.", 1), (5, item, 2), (5, item, 2), (6, None, 3)], "doc_id bigint, text string, start int")
     got = sorted((str(x.doc_id), x.item_id, x.n_places) for x in d.leaking(docs, bench).collect())
-    assert got == [("5", 1, 2), ("5", 2, 2), ("None", 1, 1), ("None", 2, 1)]
+    assert got == [("5", 1, 2), ("5", 2, 2), ("5", 3, 2), ("None", 1, 1), ("None", 2, 1), ("None", 3, 1)]
     assert d.leaking(docs, bench.limit(0)).count() == 0 and d.leaking(docs.limit(0), bench).count() == 0
 
 
