@@ -107,7 +107,7 @@ def scan(docs: DataFrame, o: Options) -> DataFrame:
                     names=["doc_id", "t_hash", "gram", "context", "place"],
                 )
 
-    return docs.select("doc_id", "t_hash", "text").mapInArrow(run, "doc_id bigint, t_hash int, gram bigint, context bigint, place bigint")
+    return docs.select("doc_id", "t_hash", "text").mapInArrow(run, "doc_id bigint, t_hash bigint, gram bigint, context bigint, place bigint")
 
 
 def _unpack(rows: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, o: Options) -> DataFrame:
                 after = pa.array([raw[x:y] for x, y in zip((p + o.gram).tolist(), r.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([gram, b.column("doc_id").take(owner), b.column("t_hash").take(owner), pos, single, before, after], names=["gram", "doc_id", "t_hash", "pos", "single", "before", "after"])
 
-    return texts.mapInArrow(run, "gram bigint, doc_id bigint, t_hash int, pos bigint, single boolean, before binary, after binary")
+    return texts.mapInArrow(run, "gram bigint, doc_id bigint, t_hash bigint, pos bigint, single boolean, before binary, after binary")
 
 
 def _resolve(rows: DataFrame, o: Options) -> DataFrame:
@@ -218,12 +218,12 @@ def _resolve(rows: DataFrame, o: Options) -> DataFrame:
         if out := flush():
             yield _spans(out)
 
-    return rows.mapInArrow(run, "doc_id bigint, t_hash int, lo bigint, hi bigint")
+    return rows.mapInArrow(run, "doc_id bigint, t_hash bigint, lo bigint, hi bigint")
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "t_hash", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "t_hash", "lo", "hi"])
 
 
 def _small(ws: Workspace, rows: DataFrame, o: Options) -> DataFrame:
@@ -260,13 +260,13 @@ def remove_repeats(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
     Edge cases: null and empty texts have no bytes; texts shorter than ``length`` keep all; a
     repeated row is a place of its own, so equal long texts remove each other; strings may overlap
-    and repeat inside one text; null doc_ids are told apart by their text; columns besides doc_id and
+    and repeat inside one text; rows of one doc_id, or of none, are told apart by a 64-bit hash of their text; columns besides doc_id and
     text are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     lean(spark)
     ws = Workspace(spark, "repeats")
-    docs = docs.select("doc_id", F.hash("text").alias("t_hash"), "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("t_hash"), "text")
     with small_batches(spark):
         found = ws.put(scan(docs, o), "anchors")
         # small sides are written first: then both sides of a join are plain shuffles, whose hot keys Spark can split

@@ -9,6 +9,8 @@ its common prefixes.
 
 from __future__ import annotations
 
+import random
+
 SHALLOW = 32
 WORD = 8
 
@@ -78,28 +80,33 @@ def blind_trie(strings: list[bytes], group: list[int], depth: int) -> tuple[list
 
 
 def sort(strings: list[bytes], depth: int = 0, shallow: int = SHALLOW) -> tuple[list[int], list[int]]:
-    """The order of ``strings``, which agree on their first ``depth`` bytes, and the lcp of each with the one before it (the first: 0)."""
-    order, common = _quick(strings, list(range(len(strings))), depth, depth + shallow) if strings else ([], [])
+    """The order of ``strings``, which agree on their first ``depth`` bytes, and the lcp of each with the one before it (the first: 0).
+
+    The groups still to be partitioned wait on a stack of our own and pivots are drawn at random, so
+    no order of the input makes it deep or slow.
+    """
+    order: list[int] = []
+    common: list[int] = []
+    draw = random.Random(len(strings))
+    stack = [(list(range(len(strings))), depth)] if strings else []
+    while stack:
+        group, d = stack.pop()
+        if len(group) > 1 and d < depth + shallow:
+            stack += _partition(strings, group, d, depth + shallow, draw)
+            continue
+        sorted_, shared = blind_trie(strings, group, min(d, min(len(strings[i]) for i in group)))
+        shared[0] = lcp(strings[order[-1]], strings[sorted_[0]], depth) if order else 0
+        order += sorted_
+        common += shared
     return order, common
 
 
-def _quick(strings: list[bytes], group: list[int], d: int, end: int) -> tuple[list[int], list[int]]:
-    if len(group) == 1:
-        return group, [0]
-    if d >= end:
-        return blind_trie(strings, group, min(d, min(len(strings[i]) for i in group)))
+def _partition(strings: list[bytes], group: list[int], d: int, end: int, draw: random.Random) -> list[tuple[list[int], int]]:
+    """One step of multikey quicksort on the word at ``d``: the larger, equal and smaller members, each with the depth to go on at."""
     # a shorter string sorts before its extensions, and one that ends inside a word equals its whole group
     words = [strings[i][d : d + WORD] for i in group]
-    pivot = sorted((words[0], words[len(words) // 2], words[-1]))[1]
-    less = [i for i, w in zip(group, words) if w < pivot]
-    same = [i for i, w in zip(group, words) if w == pivot]
+    pivot = sorted(draw.choices(words, k=3))[1]
     more = [i for i, w in zip(group, words) if w > pivot]
-    order: list[int] = []
-    common: list[int] = []
-    for g, t in ((less, d), (same, d + WORD if len(pivot) == WORD else end), (more, d)):
-        if g:
-            o, c = _quick(strings, g, t, end)
-            c[0] = lcp(strings[order[-1]], strings[o[0]], d) if order else 0
-            order += o
-            common += c
-    return order, common
+    same = [i for i, w in zip(group, words) if w == pivot]
+    less = [i for i, w in zip(group, words) if w < pivot]
+    return [(g, t) for g, t in ((more, d), (same, d + WORD if len(pivot) == WORD else end), (less, d)) if g]

@@ -51,6 +51,14 @@ def test_deep_shallow_sort():
         assert lcps[0] == 0 and all(lcps[k] == common(s[order[k - 1]], s[order[k]]) for k in range(1, len(s)))
 
 
+def test_sort_of_bad_orders():
+    n = 6000
+    pipe = [i for i in range(n) if i % 2 == 0] + [i for i in reversed(range(n)) if i % 2]
+    for numbers in (range(n), reversed(range(n)), pipe, [0] * n):
+        s = [f"{i:06d}".encode() * 10 for i in numbers]
+        assert [s[i] for i in sort(s)[0]] == sorted(s)
+
+
 def test_two_sided_matches():
     r = random.Random(2)
     for _ in range(200):
