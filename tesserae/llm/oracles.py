@@ -1,27 +1,26 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from .licenses import BASE, LOWER, NOTICES, UPPER
+from .licenses import LOWER, TEMPLATES, UPPER, positions, voting
 
 
 def _op3() -> str:
     """Diagonal voting over the same templates, which become VALUES."""
-    templates = BASE + NOTICES
-    t = ", ".join(f"({i}, '{x.label}', {str(x.base).lower()}, {x.text.count(' ')})" for i, x in enumerate(templates))
-    pos = ", ".join(f"({i}, {q}, '{a}', '{b}')" for i, x in enumerate(templates) for q, (a, b) in enumerate(zip(x.text.split(), x.text.split()[1:])))
+    t = ", ".join(f"({i}, '{x.label}', {str(x.base).lower()}, {x.text.count(' ')}, {n})" for i, (x, n) in enumerate(zip(TEMPLATES, voting(TEMPLATES))))
+    pos = ", ".join(f"({i}, {q}, '{a}', '{b}')" for i, q, a, b in positions(TEMPLATES))
     return rf"""
-WITH t(t, label, base, length) AS (VALUES {t}), pos(t, q, a, b) AS (VALUES {pos}),
+WITH t(t, label, base, length, voting) AS (VALUES {t}), pos(t, q, a, b) AS (VALUES {pos}),
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT doc_id, w, unnest(range(len(w) - 1)) AS p FROM w WHERE len(w) > 1),
 hits AS (SELECT doc_id, pos.t, p, q, p - q AS diagonal FROM g JOIN pos ON pos.a = w[p + 1] AND pos.b = w[p + 2]),
 votes AS (SELECT doc_id, t, diagonal, min(p) AS lo, max(p) + 1 AS hi, list(DISTINCT q) AS q FROM hits GROUP BY ALL),
-named AS (SELECT v.*, label, base, length FROM votes v JOIN t USING (t)),
+named AS (SELECT v.*, label, base, length, voting FROM votes v JOIN t USING (t)),
 marked AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER b > 3 OR lo - lag(hi) OVER b > length THEN 1 ELSE 0 END AS new
   FROM named WHERE NOT base WINDOW b AS (PARTITION BY doc_id, t ORDER BY diagonal)
 ),
 cut AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM marked),
 spans AS (
-  SELECT doc_id, label, false AS base, min(lo) AS lo, len(list_distinct(flatten(list(q)))) / any_value(length)::DOUBLE AS coverage FROM cut GROUP BY doc_id, t, label, span
+  SELECT doc_id, label, false AS base, min(lo) AS lo, len(list_distinct(flatten(list(q)))) / any_value(voting)::DOUBLE AS coverage FROM cut GROUP BY doc_id, t, label, span
   UNION ALL SELECT doc_id, label, true, lo, 1.0 FROM named WHERE base AND len(q) = length
 ),
 per AS (

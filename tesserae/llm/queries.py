@@ -36,7 +36,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return licenses.summarize(docs, licenses.scan(docs))
+    return licenses.summarize(docs)
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,4 +108,4 @@ def test_clashing_columns(spark, tiny):
         assert all(r["a.b"] == "x" for r in rows)
     from tesserae.llm import licenses, repeats
 
-    assert licenses.summarize(docs, licenses.scan(docs)).count() == repeats.remove_repeats(docs).count() == mixing.mix(docs).count() == near_dups.near_duplicates(docs).count() == 40
+    assert licenses.summarize(docs).count() == repeats.remove_repeats(docs).count() == mixing.mix(docs).count() == near_dups.near_duplicates(docs).count() == 40

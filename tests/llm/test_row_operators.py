@@ -73,7 +73,7 @@ def test_licenses(spark):
             parts += [r.choice(notices), prose(v, r.randint(0, 6), r)]
         texts.append(" ".join(parts))
     df = rows(spark, texts)
-    got = {x.doc_id: x for x in licenses.summarize(df, licenses.scan(df)).collect()}
+    got = {x.doc_id: x for x in licenses.summarize(df).collect()}
     for i, t in enumerate(texts):
         w, x = words(t), got[i]
         at = [(p, b.label) for b in licenses.BASE for p in range(len(w)) if w[p : p + b.text.count(" ") + 1] == b.text.split(" ")]
@@ -85,7 +85,7 @@ def test_licenses(spark):
     spans = licenses.scan(rows(spark, [text])).where("label = 'apache-2.0-notice'").collect()
     assert len(spans) == 1 and spans[0].coverage >= 0.75
     twice = spark.createDataFrame([(1, "mit license", 1), (1, "mit license", 2), (None, "mit license", 3)], "doc_id bigint, text string, label int")
-    assert [x.n_base for x in licenses.summarize(twice, licenses.scan(twice)).collect()] == [1, 1, 1]
+    assert [x.n_base for x in licenses.summarize(twice).collect()] == [1, 1, 1]
 
 
 def test_chat_round_trip(spark):
