@@ -4,8 +4,10 @@ Equal vectors are one class, of which only the smallest ids matter, so copies ne
 nor crowd a result.  Classes are dealt by hash into shards of about ``shard`` vectors.  A shard's
 graph grows in batches: a greedy beam search from the centre proposes neighbours of each new vector,
 robust pruning keeps a candidate only if no kept one is closer to it by the factor ``alpha``, and
-the reverse edges are pruned the same way where a node has too many.  Queries go in blocks against
-every shard, beam search answers each, and the best of all shards are merged.
+the reverse edges are pruned the same way where a node has too many.  Query vectors go to the shards:
+a task gets one shard, once, and then blocks of queries stream past it, so a shard's vectors and
+edges are moved once for ``blocks`` query blocks; beam search answers each query in every shard, and
+the best of all shards are merged.
 
 Largest inner product becomes smallest distance by one further component, sqrt(M^2 - |x|^2) for
 vectors and 0 for queries, with M the largest norm.  Reported scores are inner products of the
@@ -38,6 +40,7 @@ class Options:
     alpha: float = 1.2
     batch: int = 512
     query_block: int = 1024
+    blocks: int = 32  # query blocks that one task searches in its shard
     seed: int = 7
 
 
@@ -214,20 +217,28 @@ def nearest(vectors: DataFrame, is_query: Column, o: Options = Options()) -> Dat
         shards = classes.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, start int, ids binary, x binary, edges binary")
         shards = ws.put(shards, "shards")
 
-        # the distinct query vectors in blocks of about query_block, each against every shard
+        # the distinct query vectors in blocks of about query_block, each for every shard
         wanted = classes.join(asked.select("q_class").distinct(), F.col("class") == F.col("q_class"), "left_semi")
         n_queries = wanted.count()
         block = F.pmod(F.xxhash64("class", F.lit(1)), F.lit(max(1, -(-n_queries // o.query_block))))
         blocks = wanted.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("class", "v")).alias("q"))
-        blocks = blocks.withColumn("q_shard", F.explode(F.sequence(F.lit(0), sizes[F.col("dim")] - 1))).withColumnRenamed("dim", "q_dim")
-        work = blocks.join(shards, (F.col("q_dim") == F.col("dim")) & (F.col("q_shard") == F.col("shard")))
+        parts = max(1, -(-n_queries // (o.query_block * o.blocks)))
+        part = F.pmod(F.col("block"), F.lit(parts)).cast("int").alias("part")
+        blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), sizes[F.col("dim")] - 1)))
+        queries = blocks.select("dim", "shard", part, F.col("block").cast("int").alias("block"), F.lit(None).cast(shards.schema["start"].dataType).alias("start"), *(F.lit(None).cast("binary").alias(c) for c in ("ids", "x", "edges")), "q")
+        held = shards.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("block"), "start", "ids", "x", "edges", F.lit(None).cast(blocks.schema["q"].dataType).alias("q"))
+        # the shard sorts before its query blocks
+        work = held.unionAll(queries).repartition("dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "block")
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = ids = x = None
             for b in batches:
                 for r in b.to_pylist():
-                    ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, r["dim"])
-                    extra = np.sqrt(np.maximum(0, stats[r["dim"]][1] - (x * x).sum(1)))
-                    g = Graph(np.column_stack([x, extra]), o, np.frombuffer(r["edges"], np.int32).reshape(len(ids), o.slack), r["start"])
+                    if r["block"] < 0:
+                        ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, r["dim"])
+                        extra = np.sqrt(np.maximum(0, stats[r["dim"]][1] - (x * x).sum(1)))
+                        g = Graph(np.column_stack([x, extra]), o, np.frombuffer(r["edges"], np.int32).reshape(len(ids), o.slack), r["start"])
+                        continue
                     q_ids, q = np.array([t["class"] for t in r["q"]], np.int64), np.array([t["v"] for t in r["q"]])
                     for s in range(0, len(q), 256):
                         part = q[s : s + 256]
@@ -241,7 +252,7 @@ def nearest(vectors: DataFrame, is_query: Column, o: Options = Options()) -> Dat
                         rr, cc = rr[keep], cc[keep]
                         yield pa.RecordBatch.from_arrays([pa.array(q_ids[s : s + 256][rr]), pa.array(ids[found[rr, cc]]), pa.array(score[rr, cc])], names=["q_class", "c_class", "score"])
 
-        found = work.select("dim", "start", "ids", "x", "edges", "q").mapInArrow(answer, "q_class bigint, c_class bigint, score double")
+        found = work.select("dim", "block", "start", "ids", "x", "edges", "q").mapInArrow(answer, "q_class bigint, c_class bigint, score double")
         found = ws.put(found, "found")
         ws.drop(shards)
     best = Window.partitionBy("q_class").orderBy(F.col("score").desc(), F.col("c_class"))

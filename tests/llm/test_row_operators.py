@@ -271,7 +271,7 @@ def test_nearest_recall(spark):
     data = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(5000, None), (5020, [0.0] * 24), (5040, [float("nan")] * 24), (5060, [1.0, None] + [0.0] * 22), (5080, [float("inf")] * 24), (5100, [1.0, 2.0]), (None, [1.0] * 24)]
     df = spark.createDataFrame(data + bad, "vec_id bigint, embedding array<double>")
-    o = ann.Options(shard=800, query_block=50)
+    o = ann.Options(shard=800, query_block=20, blocks=3)
     got = {}
     for t in ann.nearest(df, F.col("vec_id") % 20 == 0, o).collect():
         got.setdefault(t.query_id, []).append((t.rank, t.vec_id, t.score))
