@@ -9,9 +9,11 @@ and a pair shares none with probability (1 - 0.75^4)^32 = 5e-6.
 Documents with equal shingle sets are one class from the start and only its smallest doc_id goes
 on, so exact copies never meet in a band.  A band's bucket is never expanded into pairs at first:
 (1) every class is compared with one smaller class, the smallest of the centres of its buckets;
-(2) those still apart from another centre are compared with that; (3) only pairs of a bucket whose
-components still differ, and whose shingles held by several components would suffice for a link, are
-counted against each other, in blocks of sets that never become rows of pairs.  Sizes bound the similarity first; every link is confirmed on full sets.
+(2) those still apart from another centre are compared with that; (3) what may still link to another
+component of its bucket goes by the shingles that several components hold.  A link needs so many of
+them that, ordered from the rarest, both ends share one of their first few (prefix filtering), so
+documents meet only over rare shared shingles, in blocks of sets that never become rows of pairs.
+Sizes bound the similarity first; every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ class Options:
     percent: int = 75  # links: 100 * intersection >= percent * union
     permutations: int = 64
     rows: int = 4
-    block: int = 256  # sets of a family compared together
+    block: int = 512  # sets of a family compared together
     seed: int = 20_240_501
 
 
@@ -111,20 +113,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def narrow(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
-    """Bucket members (key, rep, n, label) that may still link to another component of their bucket, and ``most``, the largest set they may link to.
+def _spread(members: DataFrame) -> DataFrame:
+    """``rep, label, h``: one row for each shingle of ``rep, label, members``."""
 
-    Lossless.  A link to another component runs over shingles that several components hold.  With s
-    of those among n shingles, a partner of m shingles needs percent * (n + m - s) <= 100 * s, which
-    bounds m; members whose bucket has no such partner are done.
-    """
-    mixed = lm.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
-    mixed = ws.put(mixed, "buckets")
-    lm = ws.put(lm.select("key", "rep", "n", "label").join(mixed.select(F.col("key").alias("m_key"), "least"), F.col("key") == F.col("m_key")).drop("m_key"), "mixed")
-    who = lm.select("rep", "label").distinct()
-    held = who.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "label", "members")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 c = b.slice(i, 200)
@@ -133,45 +125,79 @@ def narrow(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFra
                 at = pa.array(np.repeat(np.arange(len(n)), n))
                 yield pa.RecordBatch.from_arrays([c.column("rep").take(at), c.column("label").take(at), pa.array(h)], names=["rep", "label", "h"])
 
-    held = ws.put(held.mapInArrow(spread, "rep bigint, label bigint, h bigint"), "held")
-    several = held.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("h").alias("s_h"))
+    return members.select("rep", "label", "members").mapInArrow(run, "rep bigint, label bigint, h bigint")
+
+
+def shared_shingles(ws: Workspace, lm: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep, label, h, df``: the shingles of the members that members of several components hold, and by how many members."""
+    who = lm.select("rep", "label").distinct()
+    held = ws.put(_spread(who.join(sets, F.col("rep") == F.col("doc_id"))), "held")
+    several = held.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select(F.col("h").alias("s_h"), "df")
     several = ws.put(several, "several")
-    shared = held.join(several, F.col("h") == F.col("s_h"), "left_semi").groupBy(F.col("rep").alias("s_rep")).agg(F.count("*").alias("s"))
-    out = lm.join(shared, F.col("rep") == F.col("s_rep")).withColumn("most", F.floor(F.col("s") * (100 + o.percent) / o.percent - F.col("n")))
-    out = ws.put(out.where(F.col("most") >= F.greatest("least", F.ceil(F.col("n") * o.percent / 100))).select("key", "rep", "n", "label", "most"), "narrow")
-    ws.drop(held)
+    out = ws.put(held.join(several, F.col("h") == F.col("s_h")).select("rep", "label", "h", "df"), "shared")
+    ws.drop(held, several)
     return out
 
 
-def block_links(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
-    """The links (a, b) between members of different components that share a bucket, without a row for each pair.
+def narrow(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
+    """Bucket members (rep, n, label) that may still link to another component of their bucket, and ``most``, the largest set they may link to.
 
-    Buckets that share members are one family.  A family is cut into blocks of about ``o.block`` sets,
-    and every two blocks meet in one group of at most twice that, whose shingles are counted together;
-    only links come out.
+    Lossless.  A link to another component runs over shingles that several components hold.  With s
+    of those among n shingles, a partner of m shingles needs percent * (n + m - s) <= 100 * s, which
+    bounds m; members whose bucket has no such partner are done.
     """
-    least = lm.groupBy(F.col("key").alias("l_key")).agg(F.min("rep").alias("first"))
-    star = lm.join(least, F.col("key") == F.col("l_key")).select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
-    family = components(ws, star)
-    docs = lm.select("rep", "n", "label", "most").distinct().join(family.withColumnRenamed("label", "family"), F.col("rep") == F.col("node")).select("rep", "label", "most", "family")
-    docs = ws.put(docs, "family")
-    size = docs.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count("*") / o.block).cast("int").alias("blocks"))
-    docs = docs.join(size, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    docs = docs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    docs = docs.select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "most")
-    rows = docs.join(sets, F.col("rep") == F.col("doc_id")).select("family", "lo", "hi", "own", "rep", "label", "most", "members")
-    rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    mixed = lm.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
+    mixed = ws.put(mixed, "buckets")
+    lm = ws.put(lm.select("key", "rep", "n", "label").join(mixed.select(F.col("key").alias("m_key"), "least"), F.col("key") == F.col("m_key")).drop("m_key"), "mixed")
+    shared = shared_shingles(ws, lm, sets)
+    counted = shared.groupBy(F.col("rep").alias("s_rep")).agg(F.count("*").alias("s"))
+    out = lm.join(counted, F.col("rep") == F.col("s_rep")).withColumn("most", F.floor(F.col("s") * (100 + o.percent) / o.percent - F.col("n")))
+    out = out.where(F.col("most") >= F.greatest("least", F.ceil(F.col("n") * o.percent / 100)))
+    out = ws.put(out.select("rep", "n", "label", "most").distinct(), "narrow")
+    ws.drop(shared)
+    return out
+
+
+def block_links(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
+    """The links (a, b) between members (rep, n, label, most) of different components, without a row for each pair.
+
+    Of its shared shingles, rarest first, a member of n shingles keeps as prefix all but the last
+    ceil(n * percent / 100) - 1: two members that link share a shingle of both prefixes.  Members that
+    share one are one family, cut into blocks of about ``o.block`` sets.  Two blocks meet, in one
+    group of at most twice that, only if they share such a shingle; there the shared shingles are
+    counted together and only links come out.  What travels with a member is its list of shared
+    shingles, once for each block that it meets.
+    """
+    shared = shared_shingles(ws, lm, sets).groupBy(F.col("rep").alias("t_rep")).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    docs = lm.join(shared, F.col("rep") == F.col("t_rep")).withColumn("t", F.col("t.h"))
+    extra = F.size("t") - F.ceil(F.col("n") * o.percent / 100).cast("int") + 1
+    docs = ws.put(docs.where(extra > 0).select("rep", "n", "label", "most", "t", F.slice("t", F.lit(1), F.greatest(extra, F.lit(1))).alias("prefix")), "prefixed")
+    rare = docs.select("rep", "label", F.explode("prefix").alias("h"))
+    first = rare.groupBy(F.col("h").alias("f_h")).agg(F.min("rep").alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("f_h", "first")
+    rare = ws.put(rare.join(ws.put(first, "rare"), F.col("h") == F.col("f_h")).select("rep", "h", "first"), "rare")
+    family = components(ws, rare.select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b").distinct())
+    size = family.groupBy(F.col("label").alias("family")).agg(F.ceil(F.count("*") / o.block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    place = ws.put(family.join(size, F.col("label") == F.col("family")).select("node", "family", own), "family")
+    # which blocks meet; shingles that the same blocks hold count once
+    met = rare.join(place, F.col("rep") == F.col("node")).groupBy("family", "h").agg(F.sort_array(F.collect_set("own")).alias("held")).select("family", "held").distinct()
+    pairs = met.select("family", "held", F.explode("held").alias("lo")).select("family", "lo", F.explode("held").alias("hi")).where("lo <= hi").distinct()
+    pairs = ws.put(pairs, "meet")
+    either = pairs.select("family", F.col("lo").alias("of"), "lo", "hi").unionAll(pairs.where("lo < hi").select("family", F.col("hi").alias("of"), "lo", "hi"))
+    either = either.select(F.col("family").alias("e_family"), "of", "lo", "hi")
+    rows = docs.join(place, F.col("rep") == F.col("node")).join(either, (F.col("family") == F.col("e_family")) & (F.col("own") == F.col("of")))
+    rows = rows.select("family", "lo", "hi", "own", "rep", "label", "most", "n", "t").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
-        for t in batches:
+        for b in batches:
             links: list[tuple[int, int]] = []
-            cols = [t.column(c).to_pylist() for c in ("family", "lo", "hi", "own", "rep", "label", "most")]
-            for f, lo, hi, own, rep, label, most, m in zip(*cols, t.column("members")):
+            cols = [b.column(c).to_pylist() for c in ("family", "lo", "hi", "own", "rep", "label", "most", "n")]
+            for f, lo, hi, own, rep, label, most, n, t in zip(*cols, b.column("t")):
                 if (f, lo, hi) != key:
                     links += linked_pairs(group, key, o)
                     key, group = (f, lo, hi), []
-                group.append((own, rep, label, most, np.frombuffer(m.as_buffer(), U64)))
+                group.append((own, rep, label, most, n, t.values.to_numpy()))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
         if links := linked_pairs(group, key, o):
@@ -181,19 +207,18 @@ def block_links(ws: Workspace, lm: DataFrame, sets: DataFrame, o: Options) -> Da
 
 
 def linked_pairs(group: list[tuple], key: tuple | None, o: Options) -> list[tuple[int, int]]:
-    """Links between two blocks (own, rep, label, most, set), or inside one."""
+    """Links between two blocks (own, rep, label, most, n, shared shingles), or inside one."""
     if len(group) < 2:
         return []
-    own, rep, label, most = (np.array([g[k] for g in group], np.int64) for k in range(4))
-    n = np.array([len(g[4]) for g in group], np.int64)
+    own, rep, label, most, n = (np.array([g[k] for g in group], np.int64) for k in range(5))
     ask = (label[:, None] != label[None]) & (n[:, None] <= most[None]) & (n[None] <= most[:, None]) & (rep[:, None] > rep[None])
     if key[1] != key[2]:
         ask &= own[:, None] != own[None]
     x, y = np.nonzero(ask & (100 * np.minimum(n[:, None], n[None]) >= o.percent * np.maximum(n[:, None], n[None])))
     if not len(x):
         return []
-    h = np.concatenate([g[4] for g in group])
-    doc = np.repeat(np.arange(len(group)), n)
+    h = np.concatenate([g[5] for g in group])
+    doc = np.repeat(np.arange(len(group)), [len(g[5]) for g in group])
     by = np.argsort(h, kind="stable")
     h, doc = h[by], doc[by]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -260,12 +285,11 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
         # what is left: buckets whose members still lie in several components
         lm = ws.put(labelled(members.select("key", "rep", "n"), "rep", "label"), "labelled")
-        for _ in range(2):
-            lm = narrow(ws, lm, sets, o)
-        last = ws.put(block_links(ws, lm, sets, o), "linked")
-        found = ws.put(found.unionAll(last), "found")
-        labels = components(ws, found)
-        ws.drop(members, sets, lm, links, more, last)
+        narrowed = narrow(ws, lm, sets, o)
+        if narrowed.limit(1).count():
+            found = found.unionAll(ws.put(block_links(ws, narrowed, sets, o), "linked"))
+            labels = components(ws, found)
+        ws.drop(members, sets, lm, narrowed)
 
     degree = found.select(F.explode(F.array("a", "b")).alias("d_node")).groupBy("d_node").agg(F.count("*").alias("n_links"))
     named = labelled(classes.select("k1", "k2", "n", "rep"), "rep", "component_id").join(degree, F.col("rep") == F.col("d_node"), "left")
