@@ -71,3 +71,30 @@ def saturating_array(c: Column, source: str, target: str) -> Column:
 def same_length(c: Column, n: int) -> Column:
     """``c`` if it has n elements; anything else raises."""
     return F.when(F.size(c) == n, c).otherwise(F.raise_error(F.lit(f"array dimensions differ: {n} expected")))
+
+
+def plain_as(value: object, kind: str | None) -> object:
+    """A metadata value, scalar or list, as ``kind``: an integer or float type of above, ``bool`` or ``string``; None leaves it.
+
+    Numbers saturate as columns do; a number is true unless it is 0; strings are no numbers.
+    """
+    if kind is None:
+        return value
+    if isinstance(value, (list, tuple)):
+        return [plain_as(v, kind) for v in value]
+    if kind == "string":
+        if isinstance(value, str):
+            return value
+        raise UnsupportedError(f"{value!r} is no string")
+    if isinstance(value, str) or value is None:
+        raise UnsupportedError(f"{value!r} is no number")
+    if kind == "bool":
+        return bool(value)
+    if kind in FLOATS:
+        return float(value)
+    if kind not in INTEGERS:
+        raise UnsupportedError(f"no numeric type {kind}")
+    _, low, high = INTEGERS[kind]
+    if value != value:
+        return 0
+    return int(max(low, min(high, value)))

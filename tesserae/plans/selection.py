@@ -238,6 +238,20 @@ class Hyperslab(Selection):
         each = [[(s.start + k * s.stride, s.start + k * s.stride + s.block - 1) for k in range(s.count)] for s in spans]
         return [tuple(zip(*b)) for b in product(*each)]
 
+    def slices(self, shape: Shape) -> Slices:
+        """The same elements as slices; blocks that a step cannot say are an error."""
+        out = []
+        for s in self.bounded(shape).spans:
+            if s.count == 0:
+                out.append((0, 0, 1))
+            elif s.count == 1 or s.stride == s.block:
+                out.append((s.start, s.last + 1, 1))
+            elif s.block == 1:
+                out.append((s.start, s.last + 1, s.stride))
+            else:
+                raise UnsupportedError("blocks are no slices")
+        return Slices(*out)
+
     def _plain(self):
         return {"kind": self.kind, "spans": [(s.start, s.stride, s.count, s.block) for s in self.spans]}
 

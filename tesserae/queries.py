@@ -1,9 +1,8 @@
 """The engine's operators as queries over the test tables, each beside SQL that gives the same rows.
 
 ``embeddings`` is a 2-D array (vec_id, element); tables with a dense key are 1-D arrays of records.
-Queries on tables read them whole.  ``sel_09`` and the selection queries on ``SMALL`` (count, blocks,
-iteration, set algebra but for ``sel_18b``, shift, clip and merge, encoding) read none: they work on a
-shape of constant size, so they check results and not scale.
+Queries on tables read them whole; selections are made on the table's shape.  Only ``snk_05``,
+``snk_16`` and ``snk_18`` write constants.
 """
 
 from __future__ import annotations
@@ -61,12 +60,15 @@ def records(spark: SparkSession, sf_dir: str, name: str, key: str) -> ArrayFrame
     return from_records(df, key, df.count())
 
 
-SMALL = Shape((6, 8))
-#: Left and right sets of the set algebra queries.
-ROWS: Selection = Slices((0, 6), (0, 8, 3))
-BLOCKS: Selection = Hyperslab((1, 3, 2, 2), (0, 4, 2, 3))
-ROWS_SQL = "(SELECT a AS d0, b AS d1 FROM range(6) x(a), range(0, 8, 3) y(b))"
-BLOCKS_SQL = "(SELECT a AS d0, b AS d1 FROM range(6) x(a), range(8) y(b) WHERE a >= 1 AND a <= 5 AND (a - 1) % 3 < 2 AND b <= 6 AND b % 4 < 3)"
+def sets(spark: SparkSession, sf_dir: str) -> tuple[Shape, Selection, Selection]:
+    """The shape of the 2-D array, and the left and right sets of the set algebra queries: every third column, and all whole blocks of 2 x 3."""
+    shape = vectors(spark, sf_dir).shape
+    n, m = shape.dims
+    return shape, Slices((0, None), (0, None, 3)), Hyperslab((1, 3, n // 3, 2), (0, 4, (m + 1) // 4, 3))
+
+
+ROWS_SQL = "(SELECT a AS d0, b AS d1 FROM range((SELECT count(*) FROM embeddings)) x(a), range(0, 64, 3) y(b))"
+BLOCKS_SQL = "(SELECT a AS d0, b AS d1 FROM range((SELECT count(*) FROM embeddings)) x(a), range(64) y(b) WHERE a >= 1 AND (a - 1) % 3 < 2 AND (a - 1) // 3 < (SELECT count(*) FROM embeddings) // 3 AND b % 4 < 3)"
 
 
 # scans
@@ -258,11 +260,11 @@ def sel_cell(spark, sf_dir):
     return matrix(spark, sf_dir).cell(17, 63)
 
 
-@query("sel_09_output_shape", "SELECT * FROM (VALUES ('none', 0, 0), ('slices', 43, 13), ('hyperslab', 10, 6), ('points', 4, NULL)) t(selection, n0, n1)")
+@query("sel_09_output_shape", "SELECT s.* FROM (SELECT max(vec_id) + 1 AS n, max(len(embedding)) AS m FROM embeddings), LATERAL (VALUES ('none', 0, 0), ('slices', ((n + 3) // 7)::INT, ((m + 3) // 5)::INT), ('hyperslab', 10, 6), ('points', 4, NULL)) s(selection, n0, n1)")
 def sel_output_shape(spark, sf_dir):
-    shape = Shape((500, 64))
+    shape = vectors(spark, sf_dir).shape
     rows = []
-    for s in (Nothing(), Slices((3, 300, 7), (1, None, 5)), Hyperslab((2, 10, 5, 2), (1, 8, 3, 2)), Points(POINTS)):
+    for s in (Nothing(), Slices((3, None, 7), (1, None, 5)), Hyperslab((2, 10, 5, 2), (1, 8, 3, 2)), Points(POINTS)):
         n = s.output_shape(shape)
         rows.append((s.kind, n[0], n[1] if len(n) > 1 else (0 if s.kind == "none" else None)))
     return spark.createDataFrame(rows, "selection string, n0 int, n1 int")
@@ -270,7 +272,8 @@ def sel_output_shape(spark, sf_dir):
 
 @query("sel_10_count", f"SELECT count(*) AS n FROM {BLOCKS_SQL}")
 def sel_count(spark, sf_dir):
-    return selections.count(spark, BLOCKS, SMALL)
+    shape, _, blocks = sets(spark, sf_dir)
+    return selections.count(spark, blocks, shape)
 
 
 @query("sel_12_bounds", f"SELECT min(d0) AS lo0, max(d0) AS hi0, min(d1) AS lo1, max(d1) AS hi1 FROM {E} WHERE value > 0.4")
@@ -284,20 +287,23 @@ def sel_linear_bounds(spark, sf_dir):
     return selections.linear_bounds(v.read(Slices((5, 9), (0, None))), v.shape)
 
 
-@query("sel_15_blocks", "SELECT a * 3 + 1 AS lo0, a * 3 + 2 AS hi0, b * 4 AS lo1, b * 4 + 2 AS hi1 FROM range(2) x(a), range(2) y(b)")
+@query("sel_15_blocks", "SELECT a * 3 + 1 AS lo0, a * 3 + 2 AS hi0, b * 4 AS lo1, b * 4 + 2 AS hi1 FROM range((SELECT count(*) FROM embeddings) // 3) x(a), range(16) y(b)")
 def sel_blocks(spark, sf_dir):
-    return spark.createDataFrame([(lo[0], hi[0], lo[1], hi[1]) for lo, hi in BLOCKS.blocks(SMALL)], "lo0 bigint, hi0 bigint, lo1 bigint, hi1 bigint")
+    shape, _, blocks = sets(spark, sf_dir)
+    return spark.createDataFrame([(lo[0], hi[0], lo[1], hi[1]) for lo, hi in blocks.blocks(shape)], "lo0 bigint, hi0 bigint, lo1 bigint, hi1 bigint")
 
 
 @query("sel_17_iterate", f"SELECT row_number() OVER (ORDER BY d0, d1) - 1 AS pos, d0, d1 FROM {BLOCKS_SQL}")
 def sel_iterate(spark, sf_dir):
-    return coordinates(spark, BLOCKS, SMALL)
+    shape, _, blocks = sets(spark, sf_dir)
+    return coordinates(spark, blocks, shape)
 
 
 def _set_query(name: str, op: str, sql: str) -> None:
     @query(name, f"SELECT d0, d1 FROM ({sql})")
     def run(spark, sf_dir):
-        return coordinates(spark, Combined(op, ROWS, BLOCKS), SMALL).select("d0", "d1")
+        shape, rows, blocks = sets(spark, sf_dir)
+        return coordinates(spark, Combined(op, rows, blocks), shape).select("d0", "d1")
 
 
 _set_query("sel_18_union", "or", f"SELECT * FROM {ROWS_SQL} UNION SELECT * FROM {BLOCKS_SQL}")
@@ -330,13 +336,15 @@ def sel_intersects(spark, sf_dir):
 
 @query("sel_26_shift", f"SELECT d0 + 4 AS d0, d1 - 0 AS d1 FROM {BLOCKS_SQL}")
 def sel_shift(spark, sf_dir):
-    return selections.shift(coordinates(spark, BLOCKS, SMALL), BLOCKS, (4, 0)).select("d0", "d1")
+    shape, _, blocks = sets(spark, sf_dir)
+    return selections.shift(coordinates(spark, blocks, shape), blocks, (4, 0)).select("d0", "d1")
 
 
-@query("sel_27_clip_merge", f"SELECT d0, d1 FROM (SELECT * FROM {ROWS_SQL} UNION SELECT * FROM {BLOCKS_SQL}) WHERE d0 BETWEEN 1 AND 3 AND d1 BETWEEN 2 AND 6")
+@query("sel_27_clip_merge", f"SELECT d0, d1 FROM (SELECT * FROM {ROWS_SQL} UNION SELECT * FROM {BLOCKS_SQL}) WHERE d0 BETWEEN 1 AND 300 AND d1 BETWEEN 2 AND 60")
 def sel_clip(spark, sf_dir):
-    both = selections.merge(coordinates(spark, ROWS, SMALL).drop("pos"), coordinates(spark, BLOCKS, SMALL).drop("pos"))
-    return selections.clip(both, (1, 2), (3, 6))
+    shape, rows, blocks = sets(spark, sf_dir)
+    both = selections.merge(coordinates(spark, rows, shape).drop("pos"), coordinates(spark, blocks, shape).drop("pos"))
+    return selections.clip(both, (1, 2), (300, 60))
 
 
 @query("sel_28_non_unlimited", f"SELECT count(DISTINCT d1) AS n FROM {E} WHERE value > 0.43")
@@ -352,7 +360,8 @@ def sel_fill(spark, sf_dir):
 
 @query("sel_31_encode", "SELECT d0, d1 FROM " + BLOCKS_SQL)
 def sel_encode(spark, sf_dir):
-    return coordinates(spark, Selection.decode(BLOCKS.encode()), SMALL).select("d0", "d1")
+    shape, _, blocks = sets(spark, sf_dir)
+    return coordinates(spark, Selection.decode(blocks.encode()), shape).select("d0", "d1")
 
 
 # virtual arrays
@@ -643,14 +652,51 @@ def flt_pipeline(spark, sf_dir):
     return out.select("c0", F.sha2("bytes", 256).alias("sha"))
 
 
-@query("flt_03_shuffle")
+@query("flt_03_shuffle", "SELECT c0, string_agg(hex(substr(s, b::INT, 1)), '' ORDER BY b, o_orderkey) AS shuffled FROM (SELECT o_orderkey // 100 AS c0, o_orderkey, lpad(o_orderkey::VARCHAR, 8, '0') AS s FROM orders), range(1, 9) t(b) GROUP BY c0")
 def flt_shuffle(spark, sf_dir):
     return codecs.encode_chunks(_byte_chunks(spark, sf_dir), codecs.Pipeline((codecs.Filter("shuffle", {"size": 8}),))).select("c0", F.hex("bytes").alias("shuffled"))
 
 
-@query("flt_04_fletcher32")
+@query(
+    "flt_04_fletcher32",
+    """WITH w AS (SELECT o_orderkey // 100 AS c0, (o_orderkey % 100) * 4 + b AS i, ascii(substr(s, (2 * b + 1)::INT, 1)) * 256 + ascii(substr(s, (2 * b + 2)::INT, 1)) AS v FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 8, '0') AS s FROM orders), range(4) t(b)),
+    c AS (SELECT c0, sum(v) % 65535 AS a, sum((n - i) * v) % 65535 AS b FROM (SELECT *, count(*) OVER (PARTITION BY c0) AS n FROM w) GROUP BY c0)
+    SELECT c0, format('{:02X}{:02X}{:02X}{:02X}', (a % 256)::INT, (a // 256)::INT, (b % 256)::INT, (b // 256)::INT) AS checksum FROM c""",
+)
 def flt_checksum(spark, sf_dir):
-    return codecs.encode_chunks(_byte_chunks(spark, sf_dir), codecs.Pipeline((codecs.Filter("fletcher32"),))).select("c0", F.hex(F.expr("right(hex(bytes), 8)")).alias("checksum"))
+    return codecs.encode_chunks(_byte_chunks(spark, sf_dir), codecs.Pipeline((codecs.Filter("fletcher32"),))).select("c0", F.expr("right(hex(bytes), 8)").alias("checksum"))
+
+
+@query("flt_04b_verified", "SELECT o_orderkey // 100 AS c0, count(*) * 8 AS n FROM orders GROUP BY ALL")
+def flt_verified(spark, sf_dir):
+    """Checksums verified and taken off."""
+    p = codecs.Pipeline((codecs.Filter("fletcher32"),))
+    return codecs.decode_chunks(codecs.encode_chunks(_byte_chunks(spark, sf_dir), p), p).select("c0", F.length("bytes").cast("bigint").alias("n"))
+
+
+@query("flt_05_lzf", "SELECT c0, sha256(string_agg(lpad(o_orderkey::VARCHAR, 8, '0'), '' ORDER BY o_orderkey)) AS sha, true AS smaller FROM (SELECT o_orderkey // 100 AS c0, o_orderkey FROM orders) GROUP BY c0")
+def flt_lzf(spark, sf_dir):
+    """Chunks packed to LZF tokens and unpacked again."""
+    packed = codecs.encode_chunks(_byte_chunks(spark, sf_dir), codecs.Pipeline((codecs.Filter("lzf"),))).withColumn("smaller", F.length("bytes") < F.col("size"))
+    sized = codecs._over_rows(packed, "bytes", lambda r: codecs.unlzf(r["bytes"], r["size"]), ["bytes", "size"])
+    return sized.select("c0", F.sha2("bytes", 256).alias("sha"), "smaller")
+
+
+@query("flt_06_nbit", "SELECT o_orderkey AS d0, o_custkey AS value, ((count(*) OVER (PARTITION BY o_orderkey // 100) * 37 + 7) // 8)::BIGINT AS packed FROM orders")
+def flt_nbit(spark, sf_dir):
+    """37 of the 64 bits of every number kept, and the numbers restored."""
+    used = [codecs.Bits(8, 37)]
+
+    def both(p):
+        import numpy as np
+
+        p = p.sort_values("o_orderkey")
+        data = codecs.nbit_pack(p["o_custkey"].to_numpy("<i8").tobytes(), used)
+        value = np.frombuffer(codecs.nbit_unpack(data, used, len(p)), "<i8")
+        return p.assign(value=value, packed=len(data)).rename(columns={"o_orderkey": "d0"})[["d0", "value", "packed"]]
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return o.groupBy(F.call_function("div", F.col("o_orderkey"), F.lit(100).cast("bigint"))).applyInPandas(both, "d0 bigint, value bigint, packed bigint")
 
 
 # namespace
@@ -706,7 +752,7 @@ def ns_attrs(spark, sf_dir):
     return namespace.attributes(tree(spark, sf_dir)[2], 4, by="creation")
 
 
-@query("ns_10_link_counts", "SELECT (r_regionkey + 1)::BIGINT AS object, 1::BIGINT AS n FROM region UNION ALL SELECT n_nationkey + 100, 1 FROM nation")
+@query("ns_07_link_counts", "SELECT (r_regionkey + 1)::BIGINT AS object, 1::BIGINT AS n FROM region UNION ALL SELECT n_nationkey + 100, 1 FROM nation")
 def ns_link_counts(spark, sf_dir):
     return namespace.link_counts(tree(spark, sf_dir)[0])
 
@@ -739,14 +785,14 @@ def snk_grow(spark, sf_dir):
 
 @query("snk_15_write_chunk", f"SELECT d0, d1, CASE WHEN d0 BETWEEN 100 AND 199 AND d1 BETWEEN 16 AND 31 THEN (d0 * 1000 + d1)::DOUBLE ELSE value END AS value FROM {E}")
 def snk_write_chunk(spark, sf_dir):
-    new = coordinates(spark, Slices((100, 200), (16, 32)), Shape((500, 64))).select("d0", "d1", (F.col("d0") * 1000 + F.col("d1")).cast("double").alias("value"))
+    new = coordinates(spark, Slices((100, 200), (16, 32)), vectors(spark, sf_dir).shape).select("d0", "d1", (F.col("d0") * 1000 + F.col("d1")).cast("double").alias("value"))
     return mutation.write_chunk(_resizable(spark, sf_dir), (100, 16), new).elements()
 
 
 @query("snk_15b_write_chunks", f"SELECT d0, d1, CASE WHEN d0 BETWEEN 100 AND 199 AND d1 BETWEEN 16 AND 47 THEN 0.0 ELSE value END AS value FROM {E}")
 def snk_write_chunks(spark, sf_dir):
     """Every chunk that the new elements touch is replaced."""
-    new = coordinates(spark, Slices((100, 200), (16, 48)), Shape((500, 64))).select("d0", "d1", F.lit(0.0).alias("value"))
+    new = coordinates(spark, Slices((100, 200), (16, 48)), vectors(spark, sf_dir).shape).select("d0", "d1", F.lit(0.0).alias("value"))
     return mutation.write_chunks(_resizable(spark, sf_dir), new).elements()
 
 
@@ -835,3 +881,6 @@ def snk_links(spark, sf_dir):
     s.move("/run", "/moved")
     s.unlink("/twin")
     return s.namespace.list("/").select("name", "kind")
+
+
+from . import stored_queries  # noqa: E402, F401  adds its queries

@@ -6,13 +6,16 @@ Tasks build and read whole containers in memory, so a file holds a bounded numbe
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import UnsupportedError
 from .codecs import Filter
@@ -20,6 +23,33 @@ from .container import Container, Dataset
 from .container_writer import ContainerWriter
 
 
+def build(rows: DataFrame, key: str, order: str, write: Callable[[ContainerWriter, pd.DataFrame], None], old: bool = False) -> DataFrame:
+    """``file, content``: one container for each value of ``key``, written by ``write`` from its rows in ``order``; they must fit a task."""
+
+    def run(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with ContainerWriter(out, old=old) as w:
+            write(w, p.sort_values(order).reset_index(drop=True))
+        return pd.DataFrame({"file": [k[0]], "content": [out.getvalue()]})
+
+    return rows.groupBy(F.col(key).cast("bigint").alias("file")).applyInPandas(run, "file bigint, content binary")
+
+
+def scan(files: DataFrame, read: Callable[[Container, int], Iterator[tuple]], schema: str, limit: int = 10_000) -> DataFrame:
+    """The rows that ``read`` finds in every container (file, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, raw in zip(b.column("file").to_pylist(), b.column("content")):
+                found = read(Container(raw.as_py()), k)
+                while rows := list(islice(found, limit)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+    names, types = fields.names, fields.types
+    return files.select("file", "content").mapInArrow(run, schema)
+
+
 def to_containers(elements: DataFrame, per_file: int, *, chunk: int, growable: int = 0, filters: Sequence[Filter] = (), old: bool = False, name: str = "/data") -> DataFrame:
     """``file, content``: a 1-D array (d0, value) cut into containers of ``per_file`` elements each.
 

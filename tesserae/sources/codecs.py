@@ -86,6 +86,37 @@ def check_checksum(data: bytes) -> bytes:
     return body
 
 
+def lzf(data: bytes) -> bytes:
+    """LZF tokens for data: the last place of every three bytes proposes a copy, all else is literal."""
+    out, start, at, last = bytearray(), 0, 0, {}
+
+    def literals(end: int) -> None:
+        for s in range(start, end, 32):
+            part = data[s : min(end, s + 32)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    while at + 2 < len(data):
+        key = data[at : at + 3]
+        seen, last[key] = last.get(key), at
+        if seen is None or at - seen > 8192:
+            at += 1
+            continue
+        n = 3
+        while n < 264 and at + n < len(data) and data[seen + n] == data[at + n]:
+            n += 1
+        literals(at)
+        back, n_ = at - seen - 1, n - 2
+        out.append(min(n_, 7) << 5 | back >> 8)
+        if n_ >= 7:
+            out.append(n_ - 7)
+        out.append(back & 255)
+        at += n
+        start = at
+    literals(len(data))
+    return bytes(out)
+
+
 def unlzf(data: bytes, size: int) -> bytes:
     """LZF: runs of literals, and copies of what was written up to 8 KiB before."""
     out = bytearray()
@@ -266,7 +297,7 @@ REGISTRY = Registry()
 REGISTRY.register("shuffle", lambda b, o: shuffle(b, o["size"]), lambda b, o: unshuffle(b, o["size"]))
 REGISTRY.register("deflate", lambda b, o: deflate(b, o.get("level", 6)), lambda b, o: inflate(b))
 REGISTRY.register("fletcher32", lambda b, o: add_checksum(b), lambda b, o: check_checksum(b))
-REGISTRY.register("lzf", None, lambda b, o: unlzf(b, o["bytes"]))
+REGISTRY.register("lzf", lambda b, o: lzf(b), lambda b, o: unlzf(b, o["bytes"]))
 REGISTRY.register("nbit", lambda b, o: nbit_pack(b, o["members"]), lambda b, o: nbit_unpack(b, o["members"], o["n"]))
 
 

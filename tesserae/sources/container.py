@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 
 from ..errors import FormatError, UnsupportedError
+from ..functions.convert import plain_as
 from ..functions.text import canonical
 from ..plans.selection import Everything, Hyperslab, Nothing, Points, Selection, Span
 from ..shape import Shape
@@ -611,6 +612,13 @@ class Container:
         space, at = self.resolve(path)
         return space._attributes(at)
 
+    def attribute(self, path: str, name: str, kind: str | None = None) -> object:
+        """One attribute, a scalar or a list, as ``kind`` (see :func:`tesserae.functions.convert.plain_as`)."""
+        found = self.attributes(path)
+        if name not in found:
+            raise FormatError(f"no attribute {name!r}")
+        return plain_as(found[name], kind)
+
     def _attributes(self, at: int) -> dict[str, object]:
         h = self.header(at)
         out = dict(self._attribute(b) for k, b, _ in h.messages if k == ATTRIBUTE)

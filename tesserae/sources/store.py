@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..array import ArrayFrame
 from ..errors import FormatError, UnsupportedError
+from ..functions.convert import plain_as
 from ..functions.text import canonical
 from ..operators.chunks import index_kind
 from ..operators.namespace import ATTRS, LINKS, OBJECTS, Namespace
@@ -176,12 +177,13 @@ class Store:
         row = self.spark.createDataFrame([(owner, name, order, type(value).__name__, json.dumps(value))], ATTRS)
         self._save("attrs", attrs.where(~hit).unionAll(row))
 
-    def attr(self, path: str, name: str) -> object:
+    def attr(self, path: str, name: str, kind: str | None = None) -> object:
+        """One attribute, as ``kind`` (see :func:`tesserae.functions.convert.plain_as`)."""
         _, owner = self.namespace.resolve(path)
         rows = self.table("attrs").where((F.col("owner") == owner) & (F.col("name") == name)).collect()
         if not rows:
             raise FormatError(f"no attribute {name}")
-        return json.loads(rows[0].value)
+        return plain_as(json.loads(rows[0].value), kind)
 
     def delete_attr(self, path: str, name: str) -> None:
         self.attr(path, name)
