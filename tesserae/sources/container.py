@@ -32,6 +32,22 @@ DATASPACE, LINK_INFO, DATATYPE, OLD_FILL, FILL, LINK, EXTERNAL, LAYOUT = 1, 2, 3
 FILTERS, ATTRIBUTE, CONTINUATION, SYMBOLS, ATTRIBUTE_INFO = 0xB, 0xC, 0x10, 0x11, 0x15
 
 
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def exists(path: str) -> bool:
+    fs, p = locate(path)
+    return fs.get_file_info(p).type == pafs.FileType.File
+
+
+def names_in(folder: str) -> list[str]:
+    """The files of a folder; none where it does not exist."""
+    fs, p = locate(folder)
+    return sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)) if i.type == pafs.FileType.File)
+
+
 class Bytes:
     """Random access to a file through an Arrow file system, in cached blocks."""
 
@@ -43,7 +59,7 @@ class Bytes:
                 path, self.file = "bytes", pa.BufferReader(path)
                 self.size, self.keep, self.blocks = self.file.size(), keep, {}
                 return
-            fs, p = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+            fs, p = locate(path)
             self.file = fs.open_input_file(p)
         except OSError as e:
             raise FormatError(f"cannot open {path}: {e}") from e
@@ -960,16 +976,19 @@ class Dataset:
             "chunk": self.layout.get("chunk"), "filters": [n for n, _ in self.filters], "fill": self.fill_value(), "chunks": len(pieces), "expected": expected, "stored_bytes": sum(p.size for p in pieces), "status": status,
         }
 
-    def external_bytes(self) -> bytes:
-        """Raw data kept outside, joined in order; too few bytes are an error."""
+    def external_bytes(self, first: int = 0, last: int | None = None) -> bytes:
+        """Bytes first..last of the raw data kept outside, joined in order; too few bytes are an error."""
         folder = self.file.path.rsplit("/", 1)[0] if "/" in self.file.path else "."
-        want, out = self.shape.size * self.type.size, b""
+        last = self.shape.size * self.type.size if last is None else last
+        want, out, begin = last - first, [], 0
         for name, at, size in self.external_pieces():
-            b = Bytes(name if name.startswith("/") else f"{folder}/{name}")
-            out += b.read(at, min(size, want - len(out)))
-        if len(out) < want:
-            raise FormatError(f"{len(out)} bytes in other files, {want} expected")
-        return out
+            lo, hi = max(first, begin), min(last, begin + size)
+            if lo < hi:
+                out.append(Bytes(name if name.startswith("/") or "://" in name else f"{folder}/{name}").read(at + lo - begin, hi - lo))
+            begin += size
+        if begin < last:
+            raise FormatError(f"{min(begin, last) - first} bytes in other files, {want} expected")
+        return b"".join(out)
 
     def mappings(self) -> list[tuple[str, str, object, object]]:
         """(file, dataset, source selection, own selection) of a virtual dataset, in order."""
@@ -1164,7 +1183,31 @@ class Dataset:
             return raw
         return self.pipeline().decode(raw, self.chunk_bytes, piece.mask)
 
-    def elements(self, piece: Piece) -> tuple[np.ndarray, list]:
+    def linear(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray | list]:
+        """Coordinates and values of the elements first..last in row-major order, of a layout without chunks: only their bytes are read."""
+        size, n = self.type.size, last - first
+        if self.layout["kind"] == "compact":
+            data = self.layout["data"][first * size : last * size]
+        elif self.external_pieces():
+            data = self.external_bytes(first * size, last * size)
+        elif self.layout["at"] == UNDEFINED:
+            data = self.fill * n
+        else:
+            data = self.file.bytes.read(self.file.base + self.layout["at"] + first * size, n * size)
+        at = np.arange(first, last)
+        coords = np.stack(np.unravel_index(at, self.shape.dims), 1) if self.shape.dims else np.zeros((n, 0), np.int64)
+        return coords, self.values(data, n)
+
+    def values(self, data: bytes, n: int) -> np.ndarray | list:
+        """Numbers as an array in the machine's byte order, anything else as Python values."""
+        kind = self.type.dtype
+        if self.type.kind in ("int", "float", "time", "bits", "enum") and kind.kind in "iuf" and kind != np.dtype("<u8") and kind != np.dtype(">u8"):
+            if len(data) < n * self.type.size:
+                raise FormatError("element bytes end too soon")
+            return np.frombuffer(data, kind, n).astype(kind.newbyteorder("="))
+        return decode(data, self.type, n, self.file)
+
+    def elements(self, piece: Piece) -> tuple[np.ndarray, np.ndarray | list]:
         """Coordinates (one row each) and values of a piece, inside the shape."""
         dims = self.shape.dims
         chunk = self.layout["chunk"] if self.layout["kind"] == "chunked" else dims
@@ -1172,7 +1215,7 @@ class Dataset:
         keep = [min(c, d - s) for c, d, s in zip(chunk, dims, piece.start)]
         cells = np.frombuffer(data, np.dtype(f"V{self.type.size}"), prod(chunk)).reshape(chunk)[tuple(slice(0, k) for k in keep)]
         coords = np.indices(keep, np.int64).reshape(len(keep), prod(keep)).T + np.array(piece.start, np.int64)
-        return coords, decode(cells.tobytes(), self.type, prod(keep), self.file)
+        return coords, self.values(cells.tobytes(), prod(keep))
 
     def fill_value(self):
         return decode(self.fill, self.type, 1, self.file)[0] if self.type.kind not in ("vstring", "sequence") else ("" if self.type.kind == "vstring" else [])
@@ -1188,7 +1231,7 @@ class Dataset:
         steps = self.shape.strides
         for p in self.pieces():
             coords, values = self.elements(p)
-            for at, v in zip((coords * np.array(steps, np.int64)).sum(1).tolist(), values):
+            for at, v in zip((coords * np.array(steps, np.int64)).sum(1).tolist(), values.tolist() if isinstance(values, np.ndarray) else values):
                 out[at] = v
         return out
 

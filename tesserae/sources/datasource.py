@@ -1,9 +1,13 @@
 """Containers as a Spark data source: ``spark.read.format("tesserae_container")``.
 
 Options: ``path``; ``dataset``, the path of a dataset; ``fill`` (default true), whether places that
-are not stored are rows with the fill value; ``pieces`` (default 64), stored pieces to a task.
-Without ``dataset`` the rows are the tree: path, link, kind, shape, type and storage.  Conditions on
-the coordinates prune stored pieces before any is read.
+are not stored are rows with the fill value; ``pieces`` (default 64), stored pieces to a task;
+``span`` (default 4,194,304), elements to a task where nothing is chunked.  Without ``dataset`` the
+rows are the tree: path, link, kind, shape, type and storage.  ``low`` and ``high``, inclusive corners
+as comma-separated numbers, prune stored pieces before any is read; :func:`array` sets them from a
+selection.  (Conditions are not taken from the plan: Spark keeps one reader for all scans of a loaded
+frame, so a union of two differently filtered scans would be pruned by the conditions of one.)
+Elements leave as Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,24 +15,35 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from itertools import product
+from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..array import ArrayFrame
 from ..errors import FormatError
 from ..operators.virtual import Mapping, VirtualArray, block_mappings, expand_name, extent, irregular, resolve_source
-from ..plans.selection import Hyperslab, Nothing, Span
+from ..plans.selection import Hyperslab, Nothing, Points, Selection, Slices, Span
 from ..shape import Shape
-from .container import Container, Dataset, Piece
+from .container import Container, Dataset, Piece, exists, names_in
 
 NAME = "tesserae_container"
 TREE = "path string, link string, kind string, shape string, type string, layout string, filters string, stored_bytes bigint"
 
 
+BATCH = 1 << 16  # elements
+MOST_EMPTY = 10_000  # tasks for places that are not stored
+
+
 class Part(InputPartition):
-    def __init__(self, pieces: list[Piece | None], empty: list[tuple[int, ...]]):
-        self.pieces, self.empty = pieces, empty
+    """Stored pieces; or elements first..last of a layout without chunks; or the chunk numbers first..last of which only ``stored`` ones are."""
+
+    def __init__(self, pieces: list[Piece] = (), span: tuple[int, int] | None = None, empty: tuple[int, int] | None = None, stored: frozenset[int] = frozenset()):
+        self.pieces, self.span, self.empty, self.stored = pieces, span, empty, stored
 
 
 def field_names(d: Dataset) -> list[str]:
@@ -57,7 +72,7 @@ class ContainerSource(DataSource):
         return schema_of(self._open().dataset(name)) if name else TREE
 
     def reader(self, schema) -> DataSourceReader:
-        return ElementReader(self.options) if self.options.get("dataset") else TreeReader(self.options)
+        return ElementReader(self.options, to_arrow_schema(schema)) if self.options.get("dataset") else TreeReader(self.options)
 
 
 class TreeReader(DataSourceReader):
@@ -77,27 +92,12 @@ class TreeReader(DataSourceReader):
 
 
 class ElementReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.name = options["path"], options["dataset"]
+    def __init__(self, options: dict, schema: pa.Schema):
+        self.path, self.name, self.schema = options["path"], options["dataset"], schema
         self.fill = str(options.get("fill", "true")).lower() == "true"
         self.many = int(options.get("pieces", 64))
-        self.low: dict[int, int] = {}
-        self.high: dict[int, int] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on coordinates are noted for pruning; Spark applies all conditions again."""
-        for f in filters:
-            column = getattr(f, "attribute", ("",))
-            if len(column) == 1 and column[0][:1] == "d" and column[0][1:].isdigit():
-                i = int(column[0][1:])
-                v = getattr(f, "value", None)
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low[i] = max(self.low.get(i, 0), v + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high[i] = min(self.high.get(i, v), v - isinstance(f, LessThan))
-                if isinstance(f, In) and f.value:
-                    self.low[i], self.high[i] = max(self.low.get(i, 0), min(f.value)), min(self.high.get(i, max(f.value)), max(f.value))
-            yield f
+        self.span = int(options.get("span", 1 << 22))
+        self.low, self.high = ({i: int(v) for i, v in enumerate(options.get(k, "").split(",")) if v.strip()} for k in ("low", "high"))
 
     def _wanted(self, start: tuple[int, ...], chunk: tuple[int, ...]) -> bool:
         return all(s + c > self.low.get(i, 0) and s <= self.high.get(i, s) for i, (s, c) in enumerate(zip(start, chunk)))
@@ -106,52 +106,82 @@ class ElementReader(DataSourceReader):
         d = Container(self.path).dataset(self.name)
         if not d.shape.size:
             return []
-        kind = d.layout["kind"]
-        if kind == "compact" or d.external_pieces():
-            return [Part([None], [])]
-        chunk = d.layout["chunk"] if kind == "chunked" else d.shape.dims
-        pieces = [p for p in d.pieces() if self._wanted(p.start, chunk)]
-        there = {p.start for p in pieces}
-        empty = []
-        if self.fill:
-            steps = [range(0, n, c) for n, c in zip(d.shape.dims, chunk)]
-            empty = [s for s in product(*steps) if s not in there and self._wanted(s, chunk)]
-        out: list[InputPartition] = [Part(pieces[i : i + self.many], []) for i in range(0, len(pieces), self.many)]
-        return out + [Part([], empty[i : i + self.many]) for i in range(0, len(empty), self.many)]
-
-    def read(self, partition: Part) -> Iterator[tuple]:
+        if d.layout["kind"] != "chunked":
+            row = prod(d.shape.dims[1:])
+            first = min(d.shape.size, self.low.get(0, 0) * row) if d.shape.rank else 0
+            last = min(d.shape.size, (self.high.get(0, d.shape.size) + 1) * row) if d.shape.rank else 1
+            return [Part(span=(i, min(last, i + self.span))) for i in range(max(0, first), last, self.span)]
+        chunk = d.layout["chunk"]
+        stored = d.pieces()
+        pieces = [p for p in stored if self._wanted(p.start, chunk)]
+        out: list[InputPartition] = [Part(pieces[i : i + self.many]) for i in range(0, len(pieces), self.many)]
+        grid = d._grid()
+        if self.fill and len(stored) < prod(grid):
+            # ranges of chunk numbers: which of them are absent is worked out in the task
+            steps = [prod(grid[i + 1 :]) for i in range(len(grid))]
+            there = np.sort(np.array([sum(s // c * t for s, c, t in zip(p.start, chunk, steps)) for p in stored], np.int64))
+            low = max(0, self.low.get(0, 0)) // chunk[0] * steps[0]
+            high = min(prod(grid), (min(self.high.get(0, d.shape.dims[0]), d.shape.dims[0]) // chunk[0] + 1) * steps[0])
+            each = max(self.many, -(-(high - low) // MOST_EMPTY))
+            for i in range(low, high, each):
+                j = min(high, i + each)
+                held = there[np.searchsorted(there, i) : np.searchsorted(there, j)]
+                if len(held) < j - i:
+                    out.append(Part(empty=(i, j), stored=frozenset(held.tolist())))
+        return out
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         d = Container(self.path).dataset(self.name)
-        names = field_names(d)
-        row = (lambda v: tuple(v[n] for n in names)) if d.type.kind == "compound" else (lambda v: (v,))
-        shape = d.shape.dims
+        schema = self.schema
+        names = field_names(d) if d.type.kind == "compound" else None
+
+        def batch(coords: np.ndarray, values) -> pa.RecordBatch:
+            fields = [np.ascontiguousarray(coords[:, i]) for i in range(coords.shape[1])]
+            fields += [[v[n] for v in values] for n in names] if names else [values]
+            return pa.RecordBatch.from_arrays([pa.array(f).cast(t) if isinstance(f, np.ndarray) else pa.array(f, t) for f, t in zip(fields, schema.types)], schema=schema)
+
+        if partition.span:
+            first, last = partition.span
+            for at in range(first, last, BATCH):
+                yield batch(*d.linear(at, min(last, at + BATCH)))
         for p in partition.pieces:
-            if p is None:
-                at = product(*[range(n) for n in shape])
-                for c, v in zip(at, d.numpy_order()):
-                    yield (*c, *row(v))
-                continue
-            coords, values = d.elements(p)
-            for c, v in zip(coords.tolist(), values):
-                yield (*c, *row(v))
-        chunk = d.layout["chunk"] if d.layout["kind"] == "chunked" else shape
-        for start in partition.empty:
-            v = row(d.fill_value())
-            for c in product(*[range(s, min(s + k, n)) for s, k, n in zip(start, chunk, shape)]):
-                yield (*c, *v)
+            yield batch(*d.elements(p))
+        if partition.empty:
+            chunk, grid, shape = d.layout["chunk"], d._grid(), d.shape.dims
+            for k in range(*partition.empty):
+                start = tuple(i * c for i, c in zip(np.unravel_index(k, grid), chunk))
+                if k in partition.stored or not self._wanted(start, chunk):
+                    continue
+                keep = [min(c, n - s) for s, c, n in zip(start, chunk, shape)]
+                coords = np.indices(keep, np.int64).reshape(len(keep), prod(keep)).T + np.array(start, np.int64)
+                for at in range(0, len(coords), BATCH):
+                    part = coords[at : at + BATCH]
+                    yield batch(part, [d.fill_value()] * len(part))
 
 
 def register(spark: SparkSession) -> None:
     """Makes the source known to a session."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ContainerSource)
 
 
-def array(spark: SparkSession, path: str, name: str) -> ArrayFrame:
-    """A stored dataset as an array."""
+def array(spark: SparkSession, path: str, name: str, within: Selection | list | None = None) -> ArrayFrame:
+    """A stored dataset as an array.  ``within``: only pieces that the bounding box of a selection, or of a list of blocks, meets are read."""
     d = Container(path).dataset(name)
-    df = spark.read.format(NAME).options(path=path, dataset=name, fill="false").load()
+    load = spark.read.format(NAME).options(path=path, dataset=name, fill="false")
+    box = None
+    if isinstance(within, list) and within:
+        box = tuple(map(min, zip(*(lo for lo, _ in within)))), tuple(map(max, zip(*(hi for _, hi in within))))
+    elif isinstance(within, (Hyperslab, Slices, Points)):
+        box = within.bounds(d.shape)
+    if box:
+        load = load.options(low=",".join(map(str, box[0])), high=",".join(map(str, box[1])))
     chunk = d.layout.get("chunk")
-    return ArrayFrame(df, d.shape, tuple(field_names(d)), tuple(chunk) if chunk else None, d.fill_value())
+    return ArrayFrame(load.load(), d.shape, tuple(field_names(d)), tuple(chunk) if chunk else None, d.fill_value())
+
+
+def read(spark: SparkSession, path: str, name: str, selection: Selection):
+    """The selected elements of a stored dataset; stored pieces outside the selection's box are not read."""
+    return array(spark, path, name, selection).read(selection)
 
 
 def virtual_array(spark: SparkSession, path: str, name: str, view: str = "last_available", missing: str = "error", prefix: str | None = None) -> VirtualArray:
@@ -162,19 +192,19 @@ def virtual_array(spark: SparkSession, path: str, name: str, view: str = "last_a
     """
     d = Container(path).dataset(name)
     folder = path.rsplit("/", 1)[0] if "/" in path else "."
-    find = lambda n: resolve_source(n, here=path, exists=os.path.exists, prefix=prefix, env_prefix=os.environ.get("TESSERAE_VDS_PREFIX"))
+    find = lambda n: resolve_source(n, here=path, exists=exists, prefix=prefix, env_prefix=os.environ.get("TESSERAE_VDS_PREFIX"))
     found: list[Mapping] = []
     ends: list[int] = []
     grow = next((i for i, m in enumerate(d.shape.largest) if m is None), None)
     for file, inner, src, dst in d.mappings():
         if "%" in file:
             base = f"{folder}/{file}".rsplit("/", 1)[0]
-            names = sorted(os.listdir(base)) if os.path.isdir(base) else []
+            names = names_in(base)
             blocks = [(b, array(spark, f"{base}/{n}", inner)) for b, n in expand_name(file.rsplit("/", 1)[-1], names)]
             new = block_mappings(blocks, src, dst, view)
         else:
             at = find(file)
-            source = array(spark, at, inner) if at else None
+            source = array(spark, at, inner, src) if at else None
             if isinstance(src, list) or isinstance(dst, list):
                 blocks = src if isinstance(src, list) else [b for b in src.blocks(source.shape)]
                 places = dst if isinstance(dst, list) else [b for b in dst.blocks(d.shape)]

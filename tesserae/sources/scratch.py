@@ -9,11 +9,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from ..errors import UnsupportedError
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset, as in tests, below a temporary folder of our own."""
+    """A new path below ``spark.checkpoint.dir``; only where that is unset in local mode, as in tests, below a temporary folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise UnsupportedError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tesserae-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)

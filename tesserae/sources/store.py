@@ -8,6 +8,7 @@ are rows of three small tables; a change writes a new version of one and the new
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -83,7 +84,12 @@ class Store:
             raise UnsupportedError("the store is open for reading")
         v = self._versions(table)
         n = v[-1] + 1 if v else 0
-        df.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{table}/v{n:09d}")
+        fresh, final = f"{table}/.new-{uuid.uuid4().hex}", f"{table}/v{n:09d}"
+        df.coalesce(1).write.parquet(f"{self.root}/{fresh}")
+        # whole versions appear at once; another writer's version of the same number is not replaced
+        if self._exists(final) or not self._fs().rename(self._path(fresh), self._path(final)):
+            self._delete(fresh)
+            raise FormatError(f"{table} was changed by another writer")
         for old in v[:-1]:  # readers of the version before finish undisturbed
             self._delete(f"{table}/v{old:09d}")
 
@@ -99,6 +105,24 @@ class Store:
 
     # groups and links
 
+    def link_many(self, links: Sequence[tuple[str, str]]) -> None:
+        """Hard links (path, target path) in one new version; the paths must not exist."""
+        space, old = self.namespace, self.table("links")
+        last = old.agg(F.max("creation_order")).first()[0] or 0
+        parents: dict[str, int] = {}
+        rows = []
+        for k, (path, target) in enumerate(links):
+            head, name = canonical(path).rsplit("/", 1)
+            if head not in parents:
+                parents[head] = space.resolve(head or "/")[1]
+            if target not in parents:
+                parents[target] = space.resolve(target)[1]
+            rows.append((parents[head], name, "hard", str(parents[target]), None, last + 1 + k))
+        new = self.spark.createDataFrame(rows, LINKS)
+        if len({r[:2] for r in rows}) < len(rows) or old.join(new, ["parent", "name"], "left_semi").limit(1).count():
+            raise FormatError("a path exists")
+        self._save("links", old.unionAll(new))
+
     def _parent(self, path: str) -> tuple[int, str]:
         path = canonical(path)
         if path == "/":
@@ -167,6 +191,16 @@ class Store:
 
     # attributes
 
+    def set_attrs(self, path: str, values: dict) -> None:
+        """Several new attributes of one object in one new version."""
+        _, owner = self.namespace.resolve(path)
+        attrs = self.table("attrs")
+        if attrs.where((F.col("owner") == owner) & F.col("name").isin(list(values))).limit(1).count():
+            raise FormatError("an attribute exists")
+        last = attrs.where(F.col("owner") == owner).agg(F.max("creation_order")).first()[0] or 0
+        rows = [(owner, name, last + 1 + k, type(v).__name__, json.dumps(v)) for k, (name, v) in enumerate(values.items())]
+        self._save("attrs", attrs.unionAll(self.spark.createDataFrame(rows, ATTRS)))
+
     def set_attr(self, path: str, name: str, value: object, replace: bool = False) -> None:
         _, owner = self.namespace.resolve(path)
         attrs = self.table("attrs")
@@ -232,8 +266,8 @@ class Store:
         if chunk:
             out = out.repartition("chunk").sortWithinPartitions("chunk", *array.axes)
         out.write.partitionBy("chunk").option("compression", options.compression).mode("overwrite").parquet(f"{self.root}/data/{n}/elements")
-        for k, v in options.attrs.items():
-            self.set_attr(path, k, v)
+        if options.attrs:
+            self.set_attrs(path, options.attrs)
         return n
 
     def read(self, path: str) -> ArrayFrame:
@@ -262,8 +296,7 @@ class Store:
         _, n = self.namespace.resolve(path)
         meta, a = self._meta(n), self._array(n)
         fresh = self._keyed(elements.select(*a.axes, *a.values), meta)
-        ids = [r.chunk for r in fresh.select("chunk").distinct().collect()]  # folders to rewrite: one row each
-        old = a.df.where(F.col("chunk").isin(ids)).join(fresh.select(*a.axes), a.axes, "left_anti")
+        old = a.df.join(fresh.select("chunk").distinct(), "chunk", "left_semi").join(fresh.select(*a.axes), a.axes, "left_anti")
         both = old.select(*a.axes, *a.values, "chunk").unionByName(fresh).repartition("chunk")
         # read before the overwrite: Spark will not replace files that the same plan reads
         both = both.checkpoint() if self.spark.sparkContext.getCheckpointDir() else self._staged(both, n)
@@ -276,7 +309,11 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def resize(self, path: str, dims: Sequence[int]) -> None:
-        """New dimensions.  Elements outside are deleted from storage, so growing again shows the fill value."""
+        """New dimensions.  Elements outside are deleted from storage, so growing again shows the fill value.
+
+        What stays is staged, and each folder replaced, before anything is deleted: a resize that was
+        broken off loses none of it and can be run again.
+        """
         _, n = self.namespace.resolve(path)
         meta, a = self._meta(n), self._array(n)
         if not a.chunk:
@@ -285,13 +322,13 @@ class Store:
         keep = F.lit(True)
         for i, d in enumerate(dims):
             keep = keep & (F.col(axis(i)) < d)
-        cut = a.df.where(~keep).select("chunk").distinct()
-        ids = [r.chunk for r in cut.collect()]
-        if ids:
-            rest = self._staged(a.df.where(F.col("chunk").isin(ids) & keep), n)
-            for c in ids:
-                self._delete(f"data/{n}/elements/chunk={c}")
-            rest.write.mode("append").partitionBy("chunk").parquet(f"{self.root}/data/{n}/elements")
+        if any(new < old for new, old in zip(dims, a.shape.dims)):
+            touched = a.df.where(~keep).select("chunk").distinct()
+            rest = self._staged(a.df.join(touched, "chunk", "left_semi"), n)
+            # one overwrite of the folders that keep elements; folders that keep none go afterwards
+            rest.where(keep).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("chunk").parquet(f"{self.root}/data/{n}/elements")
+            for r in rest.groupBy("chunk").agg(F.max(keep).alias("some")).where("NOT some").toLocalIterator():
+                self._delete(f"data/{n}/elements/chunk={r.chunk}")
             self._delete(f"data/{n}/staged")
         self._put_meta(n, meta | {"dims": shape.dims})
 

@@ -43,7 +43,12 @@ def _layout(name: str, layout: str, **how) -> None:
     @query(name, f"SELECT o_orderkey AS d0, o_totalprice AS value, '{layout}' AS layout FROM orders")
     def run(spark, sf_dir):
         files = orders(spark, sf_dir, lambda w, p: w.dataset("/x", p["o_totalprice"].to_numpy(), **how))
-        return binary.scan(files, lambda c, k: ((d, v, c.dataset("/x").layout["kind"]) for d, v in numbered(c, k, "/x", 500)), "d0 bigint, value double, layout string")
+
+        def read(c, k):
+            kind = c.dataset("/x").layout["kind"]
+            return ((d, v, kind) for d, v in numbered(c, k, "/x", 500))
+
+        return binary.scan(files, read, "d0 bigint, value double, layout string")
 
 
 _layout("src_11_compact", "compact", compact=True)
@@ -111,7 +116,12 @@ def scalars(spark, sf_dir):
 @query("snk_09_fixed_strings", "SELECT c_custkey AS d0, c_name AS value, 24::BIGINT AS size FROM customer")
 def fixed_strings(spark, sf_dir):
     files = customers(spark, sf_dir, lambda w, p: w.dataset("/x", p["c_name"].to_numpy().astype("S24")))
-    return binary.scan(files, lambda c, k: ((d, v, c.dataset("/x").type.size) for d, v in numbered(c, k, "/x", 100)), "d0 bigint, value string, size bigint")
+
+    def read(c, k):
+        size = c.dataset("/x").type.size
+        return ((d, v, size) for d, v in numbered(c, k, "/x", 100))
+
+    return binary.scan(files, read, "d0 bigint, value string, size bigint")
 
 
 @query("snk_10_variable_strings", "SELECT c_custkey AS d0, c_mktsegment || ' é ' || c_name AS value FROM customer")

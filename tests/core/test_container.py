@@ -195,7 +195,17 @@ def test_data_source(spark, tmp_path):
     cube = read(dataset="/g/cube", pieces="2")
     assert sorted(map(tuple, cube.collect())) == [(*at, i) for i, at in enumerate(np.ndindex(5, 7, 4))]
     assert cube.where("d0 >= 4 AND d1 = 6").count() == 4
-    assert cube.where("d0 >= 4 AND d1 = 6").rdd.getNumPartitions() == 1
+    # two scans of one frame, filtered differently
+    line = read(dataset="/g/line")
+    assert line.where("d0 < 20").unionAll(line.where("d0 >= 70")).count() == 50
+    assert cube.where("d0 = 0").unionAll(cube.where("d0 >= 3")).count() == 28 * 3
+    corner = read(dataset="/g/cube", pieces="2", low="4,6,0", high="4,6,3")
+    assert corner.rdd.getNumPartitions() == 1 and corner.where("d0 >= 4 AND d1 = 6").count() == 4
+    some = datasource.read(spark, path, "/g/zip", Slices((5000, 9000, 7)))
+    assert sorted((r.d0, r.value) for r in some.collect()) == [(i, i * 5 - 11) for i in range(5000, 9000, 7)]
+    assert datasource.array(spark, path, "/flat", Slices((2, 4))).df.count() == 2 and read(dataset="/flat", span="3").rdd.getNumPartitions() == 3
+    empty = read(dataset="/never")
+    assert [tuple(r) for r in empty.orderBy("d0").collect()] == [(i, -5) for i in range(4)]
     sparse = {(r.d0, r.d1): r.value for r in read(dataset="/sparse").collect()}
     assert len(sparse) == 24 and sparse[1, 2] == 5 and sparse[3, 3] == -7
     assert read(dataset="/sparse", fill="false").count() == 6
