@@ -71,6 +71,8 @@ class Bytes:
         if n > self.BLOCK:
             return self.file.read_at(n, at)
         first, last = at // self.BLOCK, (at + n - 1) // self.BLOCK if n else at // self.BLOCK
+        if first == last:
+            return self._block(first)[at - first * self.BLOCK : at - first * self.BLOCK + n]
         out = b"".join(self._block(k) for k in range(first, last + 1))
         return out[at - first * self.BLOCK :][:n]
 
@@ -1213,6 +1215,8 @@ class Dataset:
         chunk = self.layout["chunk"] if self.layout["kind"] == "chunked" else dims
         data = self.stored(piece)
         keep = [min(c, d - s) for c, d, s in zip(chunk, dims, piece.start)]
+        if len(keep) == 1:
+            return np.arange(piece.start[0], piece.start[0] + keep[0])[:, None], self.values(data[: keep[0] * self.type.size], keep[0])
         cells = np.frombuffer(data, np.dtype(f"V{self.type.size}"), prod(chunk)).reshape(chunk)[tuple(slice(0, k) for k in keep)]
         coords = np.indices(keep, np.int64).reshape(len(keep), prod(keep)).T + np.array(piece.start, np.int64)
         return coords, self.values(cells.tobytes(), prod(keep))

@@ -144,8 +144,14 @@ class ElementReader(DataSourceReader):
             first, last = partition.span
             for at in range(first, last, BATCH):
                 yield batch(*d.linear(at, min(last, at + BATCH)))
-        for p in partition.pieces:
-            yield batch(*d.elements(p))
+        waiting, count = [], 0
+        for k, p in enumerate(partition.pieces, 1):
+            waiting.append(d.elements(p))
+            count += len(waiting[-1][0])
+            if count >= BATCH or k == len(partition.pieces):
+                values = [v for _, v in waiting]
+                yield batch(np.concatenate([c for c, _ in waiting]), np.concatenate(values) if isinstance(values[0], np.ndarray) else [x for v in values for x in v])
+                waiting, count = [], 0
         if partition.empty:
             chunk, grid, shape = d.layout["chunk"], d._grid(), d.shape.dims
             for k in range(*partition.empty):
