@@ -98,7 +98,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns and ``size, source_size, target, copies, taken``.
 
-    Columns of those names in the input are replaced.  Equal rows share their largest number of copies.
+    Columns of those names in the input are replaced.  Rows with equal doc_id, source and text share
+    their largest number of copies; null doc_ids and sources match themselves; a null or empty text has
+    size 0 and stays where its neighbours do; an empty table gives no rows.
     """
     new = ("size", "source_size", "target", "copies", "taken")
     key = F.xxhash64("text")

@@ -303,7 +303,12 @@ def near_duplicates(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one document of each component stays.  Repeated rows become one; null doc_ids stay."""
+    """The rows of ``docs``, with all their columns, of which one document of each component stays.
+
+    Edge cases: rows with equal doc_id and text become one; rows of a kept doc_id with different texts
+    all stay; null doc_ids stay; null and empty texts link with nothing and stay; an empty table gives
+    no rows.
+    """
     kept = near_duplicates(docs, o).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
     named, key = docs.where("doc_id IS NOT NULL"), F.xxhash64("text")
     repeated = named.select(F.col("doc_id").alias("__again_id"), key.alias("__again_hash")).groupBy("__again_id", "__again_hash").count().where("count > 1").select("__again_id", "__again_hash")

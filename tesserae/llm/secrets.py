@@ -134,7 +134,12 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "<SECRET>") -> s
 
 
 def redacted(docs: DataFrame, options: Options = Options(), mark: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; ``n_chars``, where there is one, follows.  Clean rows are unchanged."""
+    """``docs`` with every secret in ``text`` replaced by ``mark``; ``n_chars``, where there is one, follows.
+
+    Edge cases are those of :func:`scan`: clean rows, null and empty texts, repeated rows, null ids
+    and further columns pass through unchanged; very long texts are searched whole; an empty table
+    gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(options)
