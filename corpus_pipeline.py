@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs.  All but the last return the columns of ``documents``.
+
+Every stage works on whole texts of any length, keeps rows with null doc_ids apart, carries further
+columns along, and gives no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -16,28 +19,28 @@ from tesserae.llm._tables import Workspace
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.  Null, empty and blank texts score the share of good labels; repeated rows stay or go together."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where(F.col("quality_score") >= model.o.threshold).drop("quality_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.  Equal rows become one; null doc_ids and texts without words stay."""
     return near_dups.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks.  Null and empty texts stay; an empty benchmark removes nothing."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark.  Clean, null and empty texts are unchanged."""
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how often."""
+    """The documents that the mix takes, and how often.  Null sources are one source; equal rows share their largest number of copies."""
     return mixing.mixed(docs)
 
 
