@@ -68,6 +68,9 @@ def features(buf: np.ndarray, offs: np.ndarray, o: Options) -> tuple[np.ndarray,
     return np.concatenate(own), np.concatenate(out)
 
 
+TOGETHER = 128  # vectors multiplied at once
+
+
 class Index:
     """Unit vectors of the labelled examples: dense rows of frequent features, a blocked inverted index of the others."""
 
@@ -111,7 +114,7 @@ class Index:
         np.maximum.at(self.maxima, (f, row // self.o.block), np.nextafter(v.astype(np.float32), np.float32(2)))
         # postings by feature and row: offsets[f, b] is where those of block b begin
         by = np.lexsort((row, f))
-        self.post_row, self.post_v = row[by].astype(np.int32), v[by]
+        self.post_row, self.post_v = row[by].astype(np.int64), v[by]
         key = f[by] * self.n_blocks + row[by] // self.o.block
         at = np.searchsorted(key, np.arange(size * self.n_blocks + 1)).astype(np.int32)
         self.offsets = np.concatenate([at[:-1].reshape(size, self.n_blocks), at[self.n_blocks :: self.n_blocks, None]], 1) if size else np.zeros((0, self.n_blocks + 1), np.int32)
@@ -131,14 +134,21 @@ class Index:
             at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
             sims += np.bincount(self.post_row[at], np.repeat(w, n) * self.post_v[at], len(sims))
 
-    def nearest(self, f: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest examples, ties to the smaller id; examples that share nothing are not listed."""
+    def frequent(self, row: np.ndarray, f: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+        """Products of ``n`` vectors with all examples over the frequent features."""
+        d = self.dense_at[f]
+        q = np.zeros((n, len(self.dense)))
+        q[row[d >= 0], d[d >= 0]] = v[d >= 0]
+        return q @ self.dense
+
+    def nearest(self, f: np.ndarray, v: np.ndarray, skip: int = -1, sims: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest examples, ties to the smaller id; examples that share nothing are not listed.  ``sims``: what :func:`frequent` gives for the vector."""
         k, m = self.o.votes[-1], len(self.y)
         if not m:
             return np.zeros(0), np.zeros(0, np.int64)
-        d = self.dense_at[f]
-        sims = v[d >= 0] @ self.dense[d[d >= 0]]
-        f, v = f[d < 0], v[d < 0]
+        sims = self.frequent(np.zeros(len(f), np.int64), f, v, 1)[0] if sims is None else sims
+        rare = self.dense_at[f] < 0
+        f, v = f[rare], v[rare]
         bound = np.maximum.reduceat(sims, self.edges) + v @ self.maxima[f]
         order = np.argsort(-bound, kind="stable")
         done = np.zeros(self.n_blocks, bool)
@@ -173,25 +183,33 @@ class Index:
         a, b = self.counts[f, 1] - (own == 1), self.counts[f, 0] - (own == 0)
         return float((np.log((a + 1) / (self.n[1] + 2)) - np.log((b + 1) / (self.n[0] + 2))).max())
 
-    def signals(self, f: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Votes of the nearest examples as logits, the logarithm of the largest cosine, and the strongest odds; the neighbours' places."""
-        sims, rows = self.nearest(f, v, skip)
-        best = float(sims[0]) if len(sims) else 1e-6
-        w = np.exp((sims - best) / self.o.width)
-        one = np.cumsum(np.append(0, w * (self.y[rows] == 1)))
-        zero = np.cumsum(np.append(0, w * (self.y[rows] == 0)))
-        at = np.minimum(self.o.votes, len(rows))
-        return np.array([*np.log((one[at] + 0.02) / (zero[at] + 0.02)), np.log(max(best, 1e-6)), self.tilt(f, int(self.y[skip]) if skip >= 0 else -1)]), rows
+    def signals(self, row: np.ndarray, f: np.ndarray, v: np.ndarray, n: int, skip: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each of ``n`` vectors with a feature: its number; votes of the nearest examples as logits, the logarithm of the largest cosine and the strongest odds; the neighbours' places.
+
+        ``skip`` leaves out an example for each vector, from the neighbours and from the odds.
+        """
+        at = np.searchsorted(row, np.arange(n + 1))
+        for s in range(0, n, TOGETHER):
+            e = min(n, s + TOGETHER)
+            part = slice(at[s], at[e])
+            base = self.frequent(row[part] - s, f[part], v[part], e - s)
+            for i in s + np.flatnonzero(np.diff(at[s : e + 1])):
+                own, out = slice(at[i], at[i + 1]), -1 if skip is None else int(skip[i])
+                sims, rows = self.nearest(f[own], v[own], out, base[i - s])
+                best = float(sims[0]) if len(sims) else 1e-6
+                w = np.exp((sims - best) / self.o.width)
+                one = np.cumsum(np.append(0, w * (self.y[rows] == 1)))
+                zero = np.cumsum(np.append(0, w * (self.y[rows] == 0)))
+                k = np.minimum(self.o.votes, len(rows))
+                tilt = self.tilt(f[own], int(self.y[out]) if out >= 0 else -1)
+                yield i, np.array([*np.log((one[k] + 0.02) / (zero[k] + 0.02)), np.log(max(best, 1e-6)), tilt]), rows
 
     def fit(self, row: np.ndarray, f: np.ndarray, v: np.ndarray, shares: tuple[float, float]) -> Index:
         """The calibration, from leave-one-out signals.  Rows are places in the index."""
         order = np.argsort(row, kind="stable")
-        at = np.searchsorted(row[order], np.arange(len(self.y) + 1))
         z = np.zeros((len(self.y), self.width))
-        for i in range(len(self.y)):
-            sel = order[at[i] : at[i + 1]]
-            if len(sel):
-                z[i] = self.signals(f[sel], v[sel], i)[0]
+        for i, signal, _ in self.signals(row[order], f[order], v[order], len(self.y), np.arange(len(self.y))):
+            z[i] = signal
         n1, n0 = max(1, int((self.y == 1).sum())), max(1, int((self.y == 0).sum()))
         self.mean, self.scale = (z.mean(0), z.std(0) + 1e-9) if len(z) else (np.zeros(self.width), np.ones(self.width))
         if len(self.y) and 0 < self.y.mean() < 1:
@@ -309,11 +327,9 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         for whole in batches:
             for b in pieces(whole):
                 r, f, v = index.vectors(*features(*utf8(b.column("text")), index.o), b.num_rows)
-                at = np.searchsorted(r, np.arange(b.num_rows + 1))
                 z, near = np.zeros((b.num_rows, index.width)), [[] for _ in range(b.num_rows)]
-                for i in np.flatnonzero(np.diff(at)):
-                    z[i], rows = index.signals(f[at[i] : at[i + 1]], v[at[i] : at[i + 1]])
-                    near[i] = index.ids[rows[:3]].tolist()
+                for i, signal, rows in index.signals(r, f, v, b.num_rows):
+                    z[i], near[i] = signal, index.ids[rows[:3]].tolist()
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.score(z), pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[*b.schema.names, "toxicity", "evidence"])
 
     return over_rows(docs, run, T.StructField("toxicity", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType())))
