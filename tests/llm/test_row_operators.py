@@ -50,6 +50,36 @@ def test_every_candidate_is_measured():
     assert novel("client application/json session /usr/local/bin/authorization") == []
 
 
+def test_novel_spans_against_plain_version(spark, tiny):
+    """The reported strings of whole documents, from a compressor made anew for every measurement."""
+    import zstandard
+
+    def size(b):
+        primed = zstandard.ZstdCompressionDict(secrets.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False).compress(b))
+
+    r = random.Random(12)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    bits = ["session key ", "auth = ", "private: ", "client secret ", "Bearer ", "the path /usr/local/bin ", "refresh_token_type ", "access ", "password=", "é ", "\n", "token "]
+    texts = ["".join(r.choice([r.choice(bits), key(r.randint(4, 40)) + " ", prose(vocabulary(), 3, r) + " "]) for _ in range(r.randint(1, 60))) for _ in range(150)]
+    texts += [x.text for x in spark.read.parquet(f"{tiny}/documents.parquet").limit(60).collect()]
+    got = {x.doc_id: [(s.start, s.end) for s in x.secret_spans if s.kind == "novel"] for x in secrets.scan(rows(spark, texts)).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        t, base, want, at = t or "", base_spans(t), [], 0
+        while m := secrets.SENSITIVE.search(t, at):
+            s, e = m.span(2)
+            at = m.end(1)
+            if want and s < want[-1][1] or any(bs < e and s < be for _, bs, be in base):
+                continue
+            around = (t[max(0, s - 160) : s] + "\n" + t[e : e + 160] + "\n").encode()
+            if size(around + t[s:e].encode()) - size(around) >= 0.6 * (e - s):
+                want.append((s, e))
+        assert got[i] == want
+        some += len(want)
+    assert some > 50
+
+
 def test_secret_query(spark, tiny):
     text = {x.doc_id: x.text for x in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     for x in queries.op1_secret_scan(spark, tiny).collect():
