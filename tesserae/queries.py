@@ -1,8 +1,7 @@
 """The engine's operators as queries over the test tables, each beside SQL that gives the same rows.
 
 ``embeddings`` is a 2-D array (vec_id, element); tables with a dense key are 1-D arrays of records.
-Queries on tables read them whole; selections are made on the table's shape.  Only ``snk_05``,
-``snk_16`` and ``snk_18`` write constants.
+Queries on tables read them whole; selections are made on the table's shape.
 """
 
 from __future__ import annotations
@@ -820,14 +819,14 @@ def snk_store_select(spark, sf_dir):
     return s.select("/run/embeddings", Slices((150, 350, 2), (10, 20)))
 
 
-@query("snk_05_fill_only", "SELECT i AS d0, -5::BIGINT AS value FROM range(1000) t(i)")
+@query("snk_05_fill_only", "SELECT o_orderkey AS d0, -5::BIGINT AS value FROM orders")
 def snk_fill_only(spark, sf_dir):
     """A dataset without elements reads as its fill value."""
     from .array import filled
 
     s = _store(spark, sf_dir)
     empty = spark.createDataFrame([], "d0 bigint, value bigint")
-    s.write("/run/empty", ArrayFrame(empty, Shape((1000,)), fill=-5))
+    s.write("/run/empty", ArrayFrame(empty, prices(spark, sf_dir).shape, fill=-5))
     return filled(s.read("/run/empty")).elements()
 
 
@@ -861,25 +860,28 @@ def snk_store_overwrite(spark, sf_dir):
     return s.read("/run/data").elements()
 
 
-@query("snk_16_attributes", "SELECT * FROM (VALUES ('kept', '1'), ('new', '[1, 2]')) t(name, value)")
+@query("snk_16_attributes", "SELECT 'new' AS name, '[' || count(*) || ', 64]' AS value FROM embeddings UNION ALL SELECT n_name, n_nationkey::VARCHAR FROM nation WHERE n_nationkey > 0")
 def snk_attributes(spark, sf_dir):
-    """Attributes written, renamed and deleted."""
+    """Attributes written together and one by one, renamed and deleted."""
     s = _store(spark, sf_dir)
-    for k, v in (("kept", 1), ("old", [1, 2]), ("gone", "x")):
-        s.set_attr("/run", k, v)
+    nations = {r.n_name: r.n_nationkey for r in table(spark, sf_dir, "nation").collect()}
+    s.set_attrs("/run", nations)
+    s.set_attr("/run", "old", list(vectors(spark, sf_dir).shape.dims))
     s.rename_attr("/run", "old", "new")
-    s.delete_attr("/run", "gone")
+    s.delete_attr("/run", next(n for n, k in nations.items() if k == 0))
     return s.table("attrs").select("name", "value")
 
 
-@query("snk_18_links", "SELECT * FROM (VALUES ('alias', 'soft'), ('moved', 'hard')) t(name, kind)")
+@query("snk_18_links", "SELECT n_name AS name, 'hard' AS kind FROM nation WHERE n_nationkey > 1 UNION ALL SELECT 'alias', 'soft' UNION ALL SELECT 'moved', 'hard'")
 def snk_links(spark, sf_dir):
-    """Links made, moved and removed."""
+    """Links made together and one by one, moved and removed."""
     s = _store(spark, sf_dir)
+    nations = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    s.link_many([(f"/{n}", "/run") for n in nations])
     s.link_soft("/alias", "/run")
-    s.link_hard("/twin", "/run")
     s.move("/run", "/moved")
-    s.unlink("/twin")
+    for n in nations[:2]:
+        s.unlink(f"/{n}")
     return s.namespace.list("/").select("name", "kind")
 
 
